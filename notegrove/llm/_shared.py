@@ -18,12 +18,12 @@ WORD_CACHE = 2_000_000
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, computed at first use."""
+    """word -> 64-bit hash, computed at first use; its low five bits are the word's length, 31 for longer ones."""
 
     def __missing__(self, word: str) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~31 | min(len(word), 31)
         return value
 
 
