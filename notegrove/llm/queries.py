@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from notegrove.llm import chat_format, compression_rules, decontaminate, packing, quality_model, simhash_dedup, token_counts, token_orc, url_rules
+from notegrove.llm import chat_format, compression_rules, decontaminate, ngram_lm, packing, quality_model, simhash_dedup, token_counts, token_orc, url_rules
 from notegrove.llm._shared import table
 
 QUERIES = {
@@ -14,6 +14,7 @@ QUERIES = {
     "op6_quality_classifier": lambda spark, sf: quality_model.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels")),
     "op7_compression_rules": lambda spark, sf: compression_rules.compression_report(table(spark, sf, "documents")),
     "op8_url_rules": lambda spark, sf: url_rules.filter_urls(table(spark, sf, "pages"), table(spark, sf, "labels")),
+    "op9_lm_scores": lambda spark, sf: ngram_lm.lm_scores(table(spark, sf, "documents")),
     "op10_token_orc": lambda spark, sf: token_orc.tokens_through_orc(table(spark, sf, "documents")),
 }
 
