@@ -8,38 +8,74 @@ import uuid
 from collections.abc import Iterable
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = re.compile(r"\w+")
-#: Distinct words whose hashes a Python worker remembers before it starts afresh.
-WORD_CACHE = 2_000_000
+#: Bytes of lower-cased UTF-8 that words consist of: ASCII letters, digits, the underscore, and whatever isn't ASCII.
+WORD = re.compile(rb"[0-9a-z_\x80-\xff]+")
+_IN_WORD = np.array([bool(WORD.fullmatch(bytes([b]))) for b in range(256)])
+_VALUES = np.random.default_rng(20_240_229).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes that are hashed at one go, about; a longer text goes by itself.
+GO = 1 << 20
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE = 0x9E3779B97F4A7C15
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, computed at first use; its low five bits are the word's length, 31 for longer ones."""
+def _up_to(n: int) -> list[np.ndarray]:
+    """Powers of an odd base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            factors = np.full(n, base, np.uint64)
+            factors[0] = 1
+            _powers[k] = np.multiply.accumulate(factors)
+    return _powers
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORD_CACHE:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~31 | min(len(word), 31)
-        return value
 
+def words_of(text: str | None) -> list[bytes]:
+    """The words of a text: see WORD."""
+    return WORD.findall(text.lower().encode("utf-8", "surrogatepass")) if text else []
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-case words (runs of letters, digits and underscores); none for null."""
-    return WORD.findall(text.lower()) if text else []
 
+def _hash_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word and where it begins. Polynomial hashes of all words at once, from running sums."""
+    data = np.frombuffer(raw, np.uint8)
+    inside = np.concatenate([[False], _IN_WORD[data], [False]])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edges[::2], edges[1::2]
+    up, down = _up_to(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * down[start])
+    return hashes & ~np.uint64(31) | np.minimum(end - start, 31).astype(np.uint64), start
 
-def hash_texts(texts: Iterable[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """All words' hashes end to end, and len(texts)+1 offsets of the texts in them."""
-    parts, offsets = [], [0]
+
+def hash_texts(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words end to end, and len(texts)+1 offsets of the texts in them.
+
+    The low five bits of a hash are the word's length in bytes, 31 for longer ones.
+    """
+    parts: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held: list[bytes] = []
+
+    def go() -> None:
+        hashes, start = _hash_bytes(b"\n".join(held))
+        bounds = np.cumsum([0, *(len(t) + 1 for t in held)])
+        counts.append(np.diff(np.searchsorted(start, bounds)))
+        parts.append(hashes)
+        held.clear()
+
+    size = 0
     for text in texts:
-        words = words_of(text)
-        parts.append(np.fromiter(map(cache.__getitem__, words), np.uint64, len(words)))
-        offsets.append(offsets[-1] + len(words))
-    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.array(offsets, np.int64)
+        held.append((text or "").lower().encode("utf-8", "surrogatepass"))
+        size += len(held[-1]) + 1
+        if size >= GO:
+            go()
+            size = 0
+    if held:
+        go()
+    every = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+    return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(every)]).astype(np.int64)
 
 
 def mix(values: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -56,11 +92,12 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = mix(words[:n], size)
+    odd = np.uint64(0x9E3779B97F4A7C15)
     with np.errstate(over="ignore"):
+        out = words[:n] * odd
         for k in range(1, size):
-            out = mix(out * np.uint64(0x100000001B3) ^ words[k : n + k], size)
-    return out
+            out = (out ^ out >> np.uint64(29)) * odd + words[k : n + k]
+    return out ^ out >> np.uint64(32)
 
 
 def bits_of(hashes: np.ndarray) -> np.ndarray:

@@ -12,6 +12,7 @@ n-gram costs one row a chunk, and no table of counts is broadcast.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,7 @@ from notegrove.llm import _tokenizer
 from notegrove.llm._shared import written
 
 #: Longest n-gram; one document in so many is held out; tokens of a chunk, about.
-ORDER, HELD_ONE_IN, CHUNK_TOKENS = 2, 20, 4_000_000
+ORDER, HELD_ONE_IN, CHUNK_TOKENS = 2, 20, 2_000_000
 #: Buckets of context frequency; steps of a bit in which held-out estimates are tallied; rounds of EM.
 BUCKETS, STEPS, ROUNDS = 40, 4, 60
 CHUNKS = "chunk long, ids array<long>, sizes array<int>, held array<boolean>, tokens binary"
@@ -64,48 +65,54 @@ def _split(docs: DataFrame, ranks: str, chunk_tokens: int, held_one_in: int) ->
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held")).mapInArrow(run, CHUNKS)
 
 
-def events(tokens: np.ndarray, sizes: np.ndarray, stop: int, order: int) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """Of documents end to end: the document of each event (its tokens and a stop), and the keys of the event's n-grams and of their contexts by order.
+class Events:
+    """Documents end to end as events: each token and the stop after the last. Keys of n-grams come one kind at a time.
 
-    Contexts are filled up with stops at a document's beginning; keys of different kinds never meet. The context of
+    Contexts are filled up with stops at a document's beginning. Keys of different kinds never meet; the context of
     order 1 is empty and the same for all.
     """
-    sizes = np.maximum(sizes, 0).astype(np.int64)
-    width = stop.bit_length()
-    if order * width > 58:
-        raise ValueError("keys of this order don't fit 58 bits")
-    pad = order - 1
-    starts = np.cumsum(sizes + 1 + pad) - (sizes + 1 + pad)
-    padded = np.full(int((sizes + 1 + pad).sum()), stop, np.int64)
-    doc = np.repeat(np.arange(len(sizes)), sizes + 1)
-    within = np.arange(len(doc)) - np.repeat(np.cumsum(sizes + 1) - (sizes + 1), sizes + 1)
-    at = starts[doc] + pad + within
-    padded[at[within < sizes[doc]]] = tokens
-    grams, contexts, gram, context = [], [], np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-    for k in range(1, order + 1):
-        if k > 1:
-            context = context | padded[at - k + 1] << (width * (k - 2))
-        gram = context << width | padded[at]
-        grams.append(gram | (2 * k) << 58)
-        contexts.append(context | (2 * k + 1) << 58)
-    return doc, grams, contexts
-
-
-def _estimates(keys: np.ndarray, counts: np.ndarray, grams: list, contexts: list, stop: int, less: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each event; its estimates by order, the uniform one first. `less` is taken off every count."""
+
+    def __init__(self, tokens: np.ndarray, sizes: np.ndarray, stop: int, order: int) -> None:
+        self.width, self.order = stop.bit_length(), order
+        if order * self.width > 58:
+            raise ValueError("keys of this order don't fit 58 bits")
+        sizes = np.maximum(sizes, 0).astype(np.int64)
+        #: The document of each event.
+        self.doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)
+        ends = np.cumsum(sizes + order) - 1  # of each document's stop among the padded tokens
+        self.at = np.arange(len(self.doc)) + (order - 1) * (self.doc + 1)
+        self.padded = np.full(int((sizes + order).sum()), stop, np.int32)
+        last = np.zeros(len(self.padded), bool)
+        last[ends] = True
+        self.padded[self.at[~last[self.at]]] = tokens
+
+    def key(self, k: int, context: bool) -> np.ndarray:
+        """The n-gram of order k that each event ends, or its context alone."""
+        out = np.full(len(self.at), (2 * k + context) << 58 >> (self.width * (k - context)), np.int64)
+        for back in range(k - 1, -1 + context, -1):
+            out <<= self.width
+            out |= self.padded[self.at - back]
+        return out
+
+
+def _estimates(keys: np.ndarray, counts: np.ndarray, events: Events, less: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bucket of each event; its maximum-likelihood estimates by order. `less` is taken off every count."""
 
     def number(wanted: np.ndarray) -> np.ndarray:
         codes, values = pd.factorize(wanted)
         if len(keys) == 0:
             return np.zeros(len(wanted))
         at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-        return np.maximum(0, np.where(keys[at] == values, counts[at], 0) - less)[codes].astype(float)
+        return np.maximum(0, np.where(keys[at] == values, counts[at], 0) - less).astype(float)[codes]
 
-    out = np.full((len(grams) + 1, len(grams[0])), 1 / (stop + 1))
-    for k, (gram, context) in enumerate(zip(grams, contexts, strict=True)):
-        below = number(context)
-        out[k + 1] = np.where(below > 0, number(gram) / np.maximum(below, 1), 0)
-    return np.minimum(np.log2(below + 1).astype(int), BUCKETS - 1), out
+    out, below = [], np.zeros(0)
+    for k in range(1, events.order + 1):
+        below = number(events.key(k, True))
+        part = number(events.key(k, False))
+        part /= np.maximum(below, 1)
+        part[below <= 0] = 0
+        out.append(part)
+    return np.minimum(np.log2(below + 1).astype(np.int32), BUCKETS - 1), out
 
 
 def learn(cells: pd.DataFrame, order: int, stop: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -149,10 +156,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, ranks: str = _tokenizer.DEFAU
         for frame in frames:
             for _, row in frame.iterrows():
                 tokens, sizes = part(row, False)
-                doc, grams, contexts = events(tokens, sizes, stop, order)
-                out = np.asarray(row["held"], bool)[np.asarray(row["sizes"]) >= 0][doc]
-                for wanted in grams + contexts:
-                    codes, values = pd.factorize(wanted)
+                events = Events(tokens, sizes, stop, order)
+                out = np.asarray(row["held"], bool)[np.asarray(row["sizes"]) >= 0][events.doc]
+                for k, context in itertools.product(range(1, order + 1), (False, True)):
+                    codes, values = pd.factorize(events.key(k, context))
                     yield pd.DataFrame({"chunk": row["chunk"], "key": values, "n": np.bincount(codes, minlength=len(values)), "h": np.bincount(codes[out], minlength=len(values))})
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
@@ -169,12 +176,10 @@ def lm_scores(docs: DataFrame, order: int = ORDER, ranks: str = _tokenizer.DEFAU
                 tokens, sizes = part(row, True)
                 if len(sizes) == 0:
                     continue
-                _, grams, contexts = events(tokens, sizes, stop, order)
                 keys, n, h = (np.frombuffer(row[c], np.int64) for c in ("keys", "n", "h"))
-                bucket, levels = _estimates(keys, n - h, grams, contexts, stop, 0)
-                with np.errstate(divide="ignore"):
-                    steps = np.where(levels[1:] > 0, np.round(-np.log2(levels[1:]) * STEPS), -1).astype(int)
-                cells = pd.DataFrame({"bucket": bucket, **{f"q{k}": steps[k - 1] for k in range(1, order + 1)}})
+                bucket, levels = _estimates(keys, n - h, Events(tokens, sizes, stop, order), 0)
+                steps = [np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-30)) * STEPS), -1).astype(np.int32) for p in levels]
+                cells = pd.DataFrame({"bucket": bucket, **{f"q{k}": p for k, p in enumerate(steps, 1)}})
                 yield cells.groupby(list(cells.columns)).size().reset_index(name="n")
 
     names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
@@ -186,12 +191,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER, ranks: str = _tokenizer.DEFAU
         for frame in frames:
             for _, row in frame.iterrows():
                 tokens, sizes = part(row, False)
-                doc, grams, contexts = events(tokens, sizes, stop, order)
-                bucket, levels = _estimates(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n"], np.int64), grams, contexts, stop, 1)
-                logs = np.log2((levels * weights[bucket].T).sum(0))
+                events = Events(tokens, sizes, stop, order)
+                bucket, levels = _estimates(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n"], np.int64), events, 1)
+                logs = (weights[:, 0] / (stop + 1))[bucket]
+                for k, p in enumerate(levels, 1):
+                    logs += p * weights[bucket, k]
+                logs = np.log2(logs)
                 every = np.asarray(row["sizes"])
                 out = pd.DataFrame({"doc_id": pd.array(list(row["ids"]), "Int64"), "n_tokens": pd.array(every, "Int64"), "log2_prob": np.nan})
-                out.loc[every >= 0, "log2_prob"] = np.bincount(doc, weights=logs, minlength=len(sizes))
+                out.loc[every >= 0, "log2_prob"] = np.bincount(events.doc, weights=logs, minlength=len(sizes))
                 out.loc[every < 0, "n_tokens"] = pd.NA
                 yield out
 

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegrove.llm._shared import WordHashes, bits_of, hash_texts, mix, pack_bits, shingle_hashes, written
+from notegrove.llm._shared import bits_of, hash_texts, mix, pack_bits, shingle_hashes, written
 
 #: Bits of the 64 and of the 192 in which near duplicates may differ.
 RADIUS, CHECK_RADIUS = 7, 32
@@ -37,9 +37,9 @@ BUCKET_ROWS, BLOCK_PAIRS = 400_000, 4_000_000
 PRINTS = ("fp", "v1", "v2", "v3")
 
 
-def fingerprints(texts: list[str | None], cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of four signed 64-bit values, and which texts have words at all (the others' rows are zero)."""
-    flat, offsets = hash_texts(texts, cache)
+    flat, offsets = hash_texts(texts)
     out = np.zeros((len(texts), 4), np.int64)
     for k in range(len(texts)):
         words = flat[offsets[k] : offsets[k + 1]]
@@ -200,11 +200,10 @@ def assign_groups(docs: DataFrame, radius: int = RADIUS, check_radius: int = CHE
     """
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordHashes()
         for frame in frames:
             for at in range(0, len(frame), 200):
                 part = frame.iloc[at : at + 200]
-                values, full = fingerprints(part["text"].tolist(), cache)
+                values, full = fingerprints(part["text"].tolist())
                 yield pd.DataFrame({"id": part["doc_id"].to_numpy(), **{c: values[:, k] for k, c in enumerate(PRINTS)}, "full": full})
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL").mapInPandas(sketch, "id long, fp long, v1 long, v2 long, v3 long, full boolean")
