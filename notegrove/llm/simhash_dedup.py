@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegrove.llm._shared import bits_of, hash_texts, mix, pack_bits, shingle_hashes, written
+from notegrove.llm._shared import bits_of, col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, written
 
 #: Bits of the 64 and of the 192 in which near duplicates may differ.
 RADIUS, CHECK_RADIUS = 7, 32
@@ -229,12 +229,13 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     as text.
     """
     groups = written(assign_groups(docs, **settings), "groups")
-    gone = groups.filter("doc_id <> keep_id").select(F.col("doc_id").alias("__gone"))
-    twice = written(docs.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__gone")).count().filter("count > 1").select("__gone"), "twice")
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = left.join(twice, F.col("doc_id") == F.col("__gone"), "left_anti")
+    key, nth = fresh_name(docs, "gone"), fresh_name(docs, "nth")
+    gone = groups.filter("doc_id <> keep_id").select(F.col("doc_id").alias(key))
+    twice = written(docs.select(F.col("doc_id").cast("long").alias(key)).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "twice")
+    same = docs["doc_id"].cast("long") == F.col(key)
+    left = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
-        return once
-    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*docs.columns)))
-    again = left.join(twice, F.col("doc_id") == F.col("__gone"), "left_semi").withColumn("__nth", F.row_number().over(order)).filter("__nth = 1").drop("__nth")
-    return once.unionByName(again)
+        return left
+    order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*(col(c) for c in docs.columns))))
+    again = left.join(twice, same, "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).drop(nth)
+    return left.join(twice, same, "left_anti").unionByName(again)
