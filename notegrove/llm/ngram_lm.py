@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +30,17 @@ from notegrove.llm._shared import written
 ORDER, HELD_ONE_IN, CHUNK_TOKENS = 2, 20, 2_000_000
 #: Buckets of context frequency; steps of a bit in which held-out estimates are tallied; rounds of EM.
 BUCKETS, STEPS, ROUNDS = 40, 4, 60
-CHUNKS = "chunk long, ids array<long>, sizes array<int>, held array<boolean>, tokens binary"
+CHUNKS = "chunk long, ids array<long>, sizes array<int>, held array<boolean>, tokens binary, held_tokens binary"
+
+
+def squeezed(array: np.ndarray, steps: bool = False) -> bytes:
+    """An array's bytes under zstandard; steps: differences, for sorted values."""
+    return zstandard.ZstdCompressor(level=1).compress((np.diff(array, prepend=array.dtype.type(0)) if steps else array).tobytes())
+
+
+def restored(packed: bytes, kind: type, steps: bool = False) -> np.ndarray:
+    array = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+    return np.cumsum(array, dtype=kind) if steps else array
 
 
 def _split(docs: DataFrame, ranks: str, chunk_tokens: int, held_one_in: int) -> DataFrame:
@@ -41,10 +52,10 @@ def _split(docs: DataFrame, ranks: str, chunk_tokens: int, held_one_in: int) ->
         ids, sizes, held, parts, total = [], [], [], [], 0
 
         def row() -> pa.RecordBatch:
-            tokens = np.concatenate(parts) if parts else np.zeros(0, kind)
+            every, out = (np.concatenate([np.zeros(0, kind), *some]) for some in (parts, itertools.compress(parts, held)))
             return pa.RecordBatch.from_arrays(
-                [pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([tokens.tobytes()], pa.binary())],
-                ["chunk", "ids", "sizes", "held", "tokens"],
+                [pa.array([(TaskContext.get().partitionId() << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())), pa.array([held], pa.list_(pa.bool_())), pa.array([squeezed(every)], pa.binary()), pa.array([squeezed(out)], pa.binary())],
+                ["chunk", "ids", "sizes", "held", "tokens", "held_tokens"],
             )
 
         for batch in batches:
@@ -143,65 +154,63 @@ def lm_scores(docs: DataFrame, order: int = ORDER, ranks: str = _tokenizer.DEFAU
     kind = np.uint16 if stop < 1 << 16 else np.uint32
     chunks = written(_split(docs, ranks, chunk_tokens, held_one_in), "chunks")
 
-    def part(row: pd.Series, held: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens and sizes of a chunk's documents, or of those held out; null texts left out."""
-        sizes, tokens = np.asarray(row["sizes"], np.int64), np.frombuffer(row["tokens"], kind)
-        take = sizes >= 0
-        if held:
-            take &= np.asarray(row["held"], bool)
-            tokens = tokens[np.repeat(take, np.maximum(sizes, 0))]
-        return tokens, sizes[take]
-
-    def tell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                tokens, sizes = part(row, False)
-                events = Events(tokens, sizes, stop, order)
-                out = np.asarray(row["held"], bool)[np.asarray(row["sizes"]) >= 0][events.doc]
-                for k, context in itertools.product(range(1, order + 1), (False, True)):
-                    codes, values = pd.factorize(events.key(k, context))
-                    yield pd.DataFrame({"chunk": row["chunk"], "key": values, "n": np.bincount(codes, minlength=len(values)), "h": np.bincount(codes[out], minlength=len(values))})
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Chunks one at a time, their lists as arrays and their bytes as they came."""
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = {name: batch.column(name)[k] for name in batch.schema.names}
+                row = {name: v.as_buffer() if pa.types.is_binary(v.type) else v.as_py() if name == "chunk" else v for name, v in row.items()}
+                row["sizes"] = row["sizes"].values.to_numpy()
+                row["held"] = row["held"].values.to_numpy(zero_copy_only=False)
+                yield row
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            some = row["sizes"] >= 0
+            events = Events(restored(row["tokens"], kind), row["sizes"][some], stop, order)
+            out = row["held"][some][events.doc]
+            for k, context in itertools.product(range(1, order + 1), (False, True)):
+                codes, values = pd.factorize(events.key(k, context))
+                n, h = np.bincount(codes, minlength=len(values)), np.bincount(codes[out], minlength=len(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), row["chunk"], np.int64)), pa.array(values), pa.array(n), pa.array(h)], ["chunk", "key", "n", "h"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key")
-        return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "keys": [frame["key"].to_numpy(np.int64).tobytes()], "n": [frame["n"].to_numpy(np.int64).tobytes()], "h": [frame["h"].to_numpy(np.int64).tobytes()]})
+        return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "keys": [squeezed(frame["key"].to_numpy(np.int64), True)], "n": [squeezed(frame["n"].to_numpy(np.int64))], "h": [squeezed(frame["h"].to_numpy(np.int64))]})
 
     alike = Window.partitionBy("key")
-    sums = chunks.select("chunk", "sizes", "held", "tokens").mapInPandas(tell, "chunk long, key long, n long, h long").select("chunk", "key", F.sum("n").over(alike).alias("n"), F.sum("h").over(alike).alias("h"))
+    sums = chunks.select("chunk", "sizes", "held", "tokens").mapInArrow(tell, "chunk long, key long, n long, h long").select("chunk", "key", F.sum("n").over(alike).alias("n"), F.sum("h").over(alike).alias("h"))
     known = written(sums.groupBy("chunk").applyInPandas(gather, "chunk long, keys binary, n binary, h binary"), "sums")
 
-    def tally(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                tokens, sizes = part(row, True)
-                if len(sizes) == 0:
-                    continue
-                keys, n, h = (np.frombuffer(row[c], np.int64) for c in ("keys", "n", "h"))
-                bucket, levels = _estimates(keys, n - h, Events(tokens, sizes, stop, order), 0)
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            some = row["held"] & (row["sizes"] >= 0)
+            if some.any():
+                events = Events(restored(row["held_tokens"], kind), row["sizes"][some], stop, order)
+                bucket, levels = _estimates(restored(row["keys"], np.int64, True), restored(row["n"], np.int64) - restored(row["h"], np.int64), events, 0)
                 steps = [np.where(p > 0, np.round(-np.log2(np.maximum(p, 1e-30)) * STEPS), -1).astype(np.int32) for p in levels]
                 cells = pd.DataFrame({"bucket": bucket, **{f"q{k}": p for k, p in enumerate(steps, 1)}})
-                yield cells.groupby(list(cells.columns)).size().reset_index(name="n")
+                yield pa.RecordBatch.from_pandas(cells.groupby(list(cells.columns)).size().reset_index(name="n"), preserve_index=False)
 
     names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
-    joined = chunks.join(known, "chunk")
-    cells = joined.mapInPandas(tally, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).toPandas()
+    joined = chunks.select("chunk", "sizes", "held", "held_tokens").join(known, "chunk")
+    cells = joined.mapInArrow(tally, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).toPandas()
     weights = learn(cells, order, stop)
 
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for _, row in frame.iterrows():
-                tokens, sizes = part(row, False)
-                events = Events(tokens, sizes, stop, order)
-                bucket, levels = _estimates(np.frombuffer(row["keys"], np.int64), np.frombuffer(row["n"], np.int64), events, 1)
-                logs = (weights[:, 0] / (stop + 1))[bucket]
-                for k, p in enumerate(levels, 1):
-                    logs += p * weights[bucket, k]
-                logs = np.log2(logs)
-                every = np.asarray(row["sizes"])
-                out = pd.DataFrame({"doc_id": pd.array(list(row["ids"]), "Int64"), "n_tokens": pd.array(every, "Int64"), "log2_prob": np.nan})
-                out.loc[every >= 0, "log2_prob"] = np.bincount(events.doc, weights=logs, minlength=len(sizes))
-                out.loc[every < 0, "n_tokens"] = pd.NA
-                yield out
-
-    found = chunks.join(known, "chunk", "left").mapInPandas(score, "doc_id long, n_tokens long, log2_prob double")
-    return found.select("doc_id", "n_tokens", F.when(F.col("n_tokens").isNotNull(), F.col("log2_prob")).alias("log2_prob"), (-F.col("log2_prob") / (F.col("n_tokens") + 1)).alias("bits_per_token"))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            some = row["sizes"] >= 0
+            events = Events(restored(row["tokens"], kind), row["sizes"][some], stop, order)
+            bucket, levels = _estimates(restored(row["keys"], np.int64, True), restored(row["n"], np.int64), events, 1) if some.any() else (np.zeros(0, int), [])
+            logs = (weights[:, 0] / (stop + 1))[bucket]
+            for k, p in enumerate(levels, 1):
+                logs += p * weights[bucket, k]
+            sums = np.zeros(len(some))
+            sums[some] = np.bincount(events.doc, weights=np.log2(logs), minlength=some.sum())
+            yield pa.RecordBatch.from_arrays([row["ids"].values, pa.array(row["sizes"].astype(np.int64), mask=~some), pa.array(sums, mask=~some)], ["doc_id", "n_tokens", "log2_prob"])
+
+    # a chunk of null texts alone has no n-grams; its row comes with empty sums
+    nothing = F.lit(squeezed(np.zeros(0, np.int64)))
+    whole = chunks.select("chunk", "ids", "sizes", "held", "tokens").join(known, "chunk", "left").select("chunk", "ids", "sizes", "held", "tokens", F.coalesce("keys", nothing).alias("keys"), F.coalesce("n", nothing).alias("n"))
+    found = whole.mapInArrow(score, "doc_id long, n_tokens long, log2_prob double")
+    return found.select("doc_id", "n_tokens", "log2_prob", (-F.col("log2_prob") / (F.col("n_tokens") + 1)).alias("bits_per_token"))
