@@ -129,20 +129,24 @@ class Engine:
     def _run(self, disk: DataFrame, force: bool, prune: bool, meta: str | None) -> IndexResult:
         began, now = time.time(), int(time.time())
         disk = disk.persist()
+        kept = [disk]
         try:
             stored, old, cache = self.table("files"), self.table("chunks"), self.table("cache")
             changes = index.change_set(disk, stored).persist()
+            kept.append(changes)
             count = dict(changes.groupBy("change").count().collect())
             count.pop("deleted", None) if not prune else None
             wanted = changes.filter(F.col("change") != "deleted") if force else changes.filter(F.col("change").isin("new", "modified"))
             gone = changes.filter(F.col("change") == "deleted") if prune else changes.limit(0)
             fresh = disk.join(wanted.select("path"), "path", "left_semi")
             chunks = index.new_chunks(fresh, self._model, self.config.chunking).persist()
+            kept.append(chunks)
             made = chunks.count()
             cached = computed = 0
             if self.provider:
                 base = cache if self.config.cache.enabled else cache.limit(0)
-                chunks, rows = index.embed_missing(chunks, base, self.provider, self._key, now)
+                chunks, rows, embedded = index.embed_missing(chunks, base, self.provider, self._key, now)
+                kept.append(embedded)
                 hits = index.cache_lookup(chunks.drop("embedding"), base, self.provider.name, self.provider.model, self._key)
                 cached = hits.filter("hit").select("hash").distinct().count()
                 computed = rows.count()
@@ -164,6 +168,9 @@ class Engine:
             raise
         except Exception as e:
             raise IndexError_(str(e)) from e
+        finally:
+            for df in kept:
+                df.unpersist()
         self._dirty = False
         scanned = sum(v for k, v in count.items() if k != "deleted")
         done = scanned if force else count.get("new", 0) + count.get("modified", 0)

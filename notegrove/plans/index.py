@@ -122,13 +122,16 @@ def fingerprint(model: str, key: str, config: ChunkingConfig) -> str:
     return json.dumps({"model": model, "provider_key": key, "chunk_tokens": config.tokens, "chunk_overlap": config.overlap}, sort_keys=True)
 
 
-def embed_missing(chunks: DataFrame, cache: DataFrame, provider, key: str, now: int) -> tuple[DataFrame, DataFrame]:
-    """Chunks with embeddings, and the cache rows of those that were computed: each distinct digest once."""
+def embed_missing(chunks: DataFrame, cache: DataFrame, provider, key: str, now: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chunks with embeddings, and the cache rows of those that were computed: each distinct digest once.
+
+    The third is what is kept so that nothing is embedded twice; the caller lets go of it.
+    """
     seen = cache_lookup(chunks, cache, provider.name, provider.model, key)
     missing = seen.filter("hit IS NULL").groupBy("hash").agg(F.first("text").alias("text"))
     made = embedders.embed(missing, provider).persist()
     rows = made.filter("embedding IS NOT NULL").select(F.lit(provider.name).alias("provider"), F.lit(provider.model).alias("model"), F.lit(key).alias("provider_key"), "hash", "embedding", F.size("embedding").alias("dims"), F.lit(now).cast("long").alias("updated_at"))
     whole = seen.join(made, "hash", "left").withColumn("embedding", F.coalesce("cached", "embedding")).drop("cached", "hit")
-    return whole, rows
+    return whole, rows, made
 
 
