@@ -148,3 +148,31 @@ def fresh_name(df: DataFrame, wish: str) -> str:
 def col(name: str) -> Column:
     """A column by its exact name, dots and spaces included."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+#: log2 of the bits that tell rows apart before a join: at least, at most (32 MB); bits for each id, about.
+SIEVE_BITS, BITS_PER_ID = (20, 28), 32
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not among the one column of ids; those with a null doc_id stay.
+
+    Rows whose hash no id has, found by a bit map of bounded size that goes to every task, stay where they are; only
+    the others are joined and may be shuffled. The more ids, the fuller the map: it never decides that a row goes.
+    """
+    named = written(ids.toDF("id").select(F.col("id").cast("long")).filter("id IS NOT NULL").distinct(), "ids")
+    n = named.count()
+    if n == 0:
+        return docs
+    bits = min(max((BITS_PER_ID * n).bit_length(), SIEVE_BITS[0]), SIEVE_BITS[1])
+    slot = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << bits)) + 1
+    part, sieve, key = fresh_name(docs, "part"), fresh_name(docs, "sieve"), fresh_name(docs, "key")
+    maps = named.groupBy(F.bitmap_bucket_number(slot(F.col("id"))).alias(part)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot(F.col("id")))).alias(sieve))
+    doc_id = F.col("doc_id")
+    at = F.bitmap_bit_position(slot(doc_id))
+    byte = F.conv(F.hex(F.substring(F.col(sieve), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    own = F.when(doc_id.isNotNull(), F.bitmap_bucket_number(slot(doc_id)))
+    marked = docs.join(F.broadcast(maps), own == F.col(part), "left")
+    rest = marked.filter(maybe).drop(part, sieve).join(named.withColumnRenamed("id", key), doc_id.cast("long") == F.col(key), "left_anti")
+    return marked.filter(~maybe).drop(part, sieve).unionByName(rest)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from notegrove.llm._shared import bits_of, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, written
+from notegrove.llm._shared import bits_of, hash_texts, mix, pack_bits, shingle_hashes, without, written
 
 RADIUS, LEAST = 15, 0.6
 #: Items of fewer words say too little to tell a leak from chance and are left out.
@@ -243,6 +243,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The rows of docs, all columns as they are, but those whose doc_id has a leak; rows with a null doc_id stay."""
-    key = fresh_name(docs, "gone")
-    gone = leaks(docs, benchmark, **settings).filter("doc_id IS NOT NULL").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col(key), "left_anti")
+    return without(docs, leaks(docs, benchmark, **settings).select("doc_id"))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegrove.llm._shared import bits_of, col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, written
+from notegrove.llm._shared import bits_of, col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, without, written
 
 #: Bits of the 64 and of the 192 in which near duplicates may differ.
 RADIUS, CHECK_RADIUS = 7, 32
@@ -229,11 +229,10 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
     as text.
     """
     groups = written(assign_groups(docs, **settings), "groups")
-    key, nth = fresh_name(docs, "gone"), fresh_name(docs, "nth")
-    gone = groups.filter("doc_id <> keep_id").select(F.col("doc_id").alias(key))
+    key, nth = fresh_name(docs, "again"), fresh_name(docs, "nth")
+    left = without(docs, groups.filter("doc_id <> keep_id").select("doc_id"))
     twice = written(docs.select(F.col("doc_id").cast("long").alias(key)).filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key), "twice")
     same = docs["doc_id"].cast("long") == F.col(key)
-    left = docs.join(gone, same, "left_anti")
     if twice.isEmpty():
         return left
     order = Window.partitionBy("doc_id").orderBy(F.to_json(F.struct(*(col(c) for c in docs.columns))))

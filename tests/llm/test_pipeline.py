@@ -42,3 +42,16 @@ def test_labelled_good_documents_stay(spark, stages):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     good = ids(labels.filter("quality = 1"))
     assert len(ids(stages[1]) & good) >= 0.97 * len(good)
+
+
+def test_without_equals_an_anti_join(spark):
+    from pyspark.sql import functions as F
+
+    from notegrove.llm._shared import without
+
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("x").alias("sieve"), F.lit("y").alias("part")).union(spark.createDataFrame([(None, "x", "y"), (7, "x", "y")], "doc_id long, sieve string, part string"))
+    gone = spark.range(0, 5000, 7)
+    got = without(docs, gone.union(gone).union(spark.createDataFrame([(None,)], "id long")))
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id or -1 for r in got.collect()) == sorted(r.doc_id or -1 for r in docs.collect() if r.doc_id is None or r.doc_id % 7)
+    assert without(docs, gone.limit(0)).count() == 5002
