@@ -125,9 +125,9 @@ def fts_query_build(spark, sf):
     return benchmark(spark, sf).select("item_id", text.match_expression(F.col("text")).alias("expression"))
 
 
-@query(f"SELECT doc_id, array_to_string({oracle.keyword_list('text')}, ' ') AS keywords FROM documents")
+@query(f"SELECT item_id, array_to_string({oracle.keyword_list('text')}, ' ') AS keywords FROM benchmark")
 def keyword_extract(spark, sf):
-    return documents(spark, sf).select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
+    return benchmark(spark, sf).select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
 
 @query(f"SELECT doc_id, len(w)::BIGINT AS n_words, len([x FOR x IN w IF list_contains({oracle.STOP}, x)])::BIGINT AS n_stop FROM (SELECT doc_id, regexp_extract_all(text, {oracle.WORD}) AS w FROM documents)")
@@ -344,7 +344,7 @@ def mmr_lambda_sweep(spark, sf):
 # --- boosts -----------------------------------------------------------------------------------------------------
 
 
-@query(rf"SELECT doc_id, array_to_string({oracle.ordered_distinct('e')}, '|') AS entities FROM (SELECT doc_id, [lower(x) FOR x IN list_concat(regexp_extract_all(text, '\"([^\"]+)\"', 1), [trim(y) FOR y IN regexp_extract_all(' ' || text || ' ', '@CAPS', 1)], [w FOR w IN regexp_extract_all(text, {oracle.WORD}) IF regexp_full_match(w, '[A-Z]{{2,}}')], [y FOR y IN regexp_extract_all(text, '@HYPHEN', 1)])] AS e FROM documents)".replace('\\"', '"') if False else None)
+@query()
 def entity_extract(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(text.entities(F.col("text")), "|").alias("entities"))
 
@@ -368,7 +368,7 @@ _PHRASES = ("two weeks ago we met", "a couple of days ago", "what did I do yeste
 
 
 @query(
-    "SELECT query_id, CASE "
+    "SELECT query_id, (CASE "
     + " ".join(
         rf"WHEN regexp_matches(q, '{p}', 'i') THEN {v}"
         for p, v in (
@@ -376,11 +376,11 @@ _PHRASES = ("two weeks ago we met", "a couple of days ago", "what did I do yeste
             (r"\d+\s+months?\s+ago", r"regexp_extract(q, '(\d+)\s+months?\s+ago', 1, 'i')::BIGINT * 30"), (r"a\s+month\s+ago", "30"), (r"last\s+month", "30"), (r"a\s+year\s+ago", "365"), (r"last\s+year", "365"), ("recently", "14"),
         )
     )
-    + f" END AS days FROM (SELECT query_id, {oracle.digits('query')} AS q FROM asked)",
+    + f" ELSE -1 END)::BIGINT AS days FROM (SELECT query_id, {oracle.digits('query')} AS q FROM asked)",
     asked=literals_sql(*_PHRASES),
 )
 def time_offset_parse(spark, sf):
-    return literals(spark, *_PHRASES).select("query_id", text.time_offset(F.col("query"))["days"].alias("days"))
+    return literals(spark, *_PHRASES).select("query_id", F.coalesce(text.time_offset(F.col("query"))["days"], F.lit(-1)).cast("long").alias("days"))
 
 
 def _sessions(spark, sf) -> DataFrame:
