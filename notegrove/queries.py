@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notegrove import oracle
@@ -20,7 +20,11 @@ from notegrove.streaming.watch import debounce
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SMALL = ChunkingConfig(tokens=40, overlap=8)
-NOW = F.lit(adapters.NOW).cast("date")
+
+
+def now() -> Column:
+    return F.lit(adapters.NOW).cast("date")
+
 
 
 def query(sql: str | None = None, **parts: str):
@@ -46,7 +50,7 @@ def _t(name: str):
 benchmark, documents, customers, embeddings = map(_t, ("benchmark", "documents", "customer", "embeddings"))
 
 
-def _r(column: str | F.Column, name: str | None = None) -> F.Column:
+def _r(column: str | Column, name: str | None = None) -> Column:
     c = F.col(column) if isinstance(column, str) else column
     return F.round(c, 6).alias(name or column)
 
@@ -290,13 +294,13 @@ _AGED = f"(SELECT query_id, chunk_id, CASE WHEN d IS NULL THEN score ELSE score
 
 @query(_RANKED.format(_AGED))
 def temporal_decay(spark, sf):
-    return _ranks(ranking.temporal_decay(_candidates(spark, sf), 3000.0, NOW, adapters.files(spark, sf)))
+    return _ranks(ranking.temporal_decay(_candidates(spark, sf), 3000.0, now(), adapters.files(spark, sf)))
 
 
 @query(f"SELECT path, CASE WHEN d IS NULL THEN NULL ELSE greatest(0, {oracle.NOW} - d)::DOUBLE END AS age, CASE WHEN d IS NULL THEN 1.0 ELSE round(exp(-ln(2) / 3000.0 * greatest(0, {oracle.NOW} - d)), 6) END AS factor FROM (SELECT path, {_DATE} AS d FROM files)")
 def decay_multiplier(spark, sf):
     day = scalar.path_date(F.col("path"))
-    age = F.when(day.isNotNull(), scalar.age_days(day, NOW))
+    age = F.when(day.isNotNull(), scalar.age_days(day, now()))
     return adapters.files(spark, sf).select("path", age.alias("age"), _r(scalar.decay_factor(age, scalar.decay_rate(3000.0)), "factor"))
 
 
