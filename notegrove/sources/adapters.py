@@ -27,9 +27,15 @@ def files(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", path.alias("path"), scalar.source_label(path).alias("source"), scalar.sha256(F.col("text")).alias("hash"), F.unix_seconds(day.cast("timestamp")).cast("double").alias("mtime"), F.octet_length("text").cast("long").alias("size"), *columns)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over at least as many partitions as there are cores: a table in one small file is one split, and so one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def chunks(spark: SparkSession, sf: str, config: ChunkingConfig | None = None) -> DataFrame:
     """Chunks of all documents: (chunk_id, doc_id, chunk_no, path, source, start_line, end_line, model, text)."""
-    made = chunk_texts(files(spark, sf, "text").select("doc_id", "path", "source", "text"), config)
+    made = chunk_texts(spread(files(spark, sf, "text").select("doc_id", "path", "source", "text")), config)
     key = F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(":"), F.lpad(F.col("chunk_no").cast("string"), 6, "0"))
     return made.select(key.alias("chunk_id"), "doc_id", "chunk_no", "path", "source", "start_line", "end_line", F.lit(MODEL).alias("model"), "text")
 
