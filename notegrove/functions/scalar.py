@@ -7,8 +7,12 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DATED_NAME = r"^\d{4}-\d{2}-\d{2}\.md$"
-DATED_PATH = r"(?:^|/)memory/(?:[^/]+/)?(\d{4}-\d{2}-\d{2})\.md$"
+_DAY = r"\d{4}-\d\d-\d\d"
+DATED_NAME = rf"^{_DAY}[.]md$"
+#: A whole folder called memory, at most one folder below it, and a date for a name.
+DATED_PATH = rf"(?<![^/])memory/(?:[^/]+/|)({_DAY})[.]md$"
+#: Year, month and day as groups.
+_YMD = "[/-]".join(rf"(\d{{{n}}})" for n in (4, 2, 2))
 
 
 def sha256(text: Column) -> Column:
@@ -94,12 +98,12 @@ def mmr_score(relevance: Column, similarity: Column, lam: float) -> Column:
 
 def session_date(text: Column) -> Column:
     """Date of a 'Date: 2024/01/31' header in a text."""
-    return _date_of(text, r"Date:\s*(\d{4})[/-](\d{2})[/-](\d{2})")
+    return _date_of(text, rf"Date:\s*{_YMD}")
 
 
 def question_date(raw: Column) -> Column:
     """First date in a text."""
-    return _date_of(raw, r"(\d{4})[/-](\d{2})[/-](\d{2})")
+    return _date_of(raw, _YMD)
 
 
 def _date_of(text: Column, pattern: str) -> Column:

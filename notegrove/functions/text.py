@@ -11,23 +11,19 @@ from pyspark.sql import functions as F
 from notegrove.functions.stopwords import RERANK_STOP_WORDS, STOP_WORDS
 
 WORD = r"[\p{L}\p{N}_]+"
-PREFERENCE_WORDS = ("advice", "enjoy", "enjoyed", "enjoying", "favorite", "favorites", "favourite", "favourites", "interest", "interested", "prefer", "preference", "preferred", "prefers", "recommend", "recommendation", "recommendations", "suggest", "suggestion", "suggestions", "tips")
-PREFERENCE_PHRASES = ("what are my", "what do i", "what is my", "what kind", "what sort", "what type")
-NUMBER_WORDS = (("a couple of", 2), ("a couple", 2), ("couple of", 2), ("twelve", 12), ("eleven", 11), ("couple", 2), ("a few", 3), ("three", 3), ("seven", 7), ("eight", 8), ("four", 4), ("five", 5), ("nine", 9), ("one", 1), ("two", 2), ("six", 6), ("ten", 10), ("few", 3))
-#: (pattern with the number in group 1 if `days` is per unit, days, tolerance), the first that matches counts.
-OFFSETS = (
-    (r"(\d+)\s+days?\s+ago", 1, 2),
-    (r"yesterday", None, (1, 1)),
-    (r"(\d+)\s+weeks?\s+ago", 7, 5),
-    (r"a\s+week\s+ago", None, (7, 3)),
-    (r"last\s+week", None, (7, 3)),
-    (r"(\d+)\s+months?\s+ago", 30, 10),
-    (r"a\s+month\s+ago", None, (30, 7)),
-    (r"last\s+month", None, (30, 7)),
-    (r"a\s+year\s+ago", None, (365, 30)),
-    (r"last\s+year", None, (365, 30)),
-    (r"recently", None, (14, 14)),
-)
+PREFERENCE_WORDS = tuple("tips suggestions interested favorites prefer enjoying advice recommend favourites preference interest suggest enjoyed prefers favorite recommendation enjoy suggestion preferred favourite recommendations".split())
+PREFERENCE_PHRASES = tuple(f"what {rest}" for rest in ("sort", "are my", "type", "is my", "kind", "do i"))
+_NUMBERS = {12: "twelve", 11: "eleven", 10: "ten", 9: "nine", 8: "eight", 7: "seven", 6: "six", 5: "five", 4: "four", 3: "three/a few/few", 2: "two/couple/a couple/couple of/a couple of", 1: "one"}
+#: (spelling, number), longest spelling first.
+NUMBER_WORDS = tuple(sorted(((w, n) for n, words in _NUMBERS.items() for w in words.split("/")), key=lambda x: (-len(x[0]), x[0])))
+#: (pattern, days for each unit of its number or none, tolerance or days and tolerance); a blank is any white space. The first that matches counts.
+OFFSETS = tuple(
+    (pattern.replace("N", r"(\d+)").replace(" ", r"\s+"), unit, rest)
+    for pattern, unit, rest in (
+        ("N days? ago", 1, 2), ("yesterday", None, (1, 1)), ("N weeks? ago", 7, 5), ("a week ago", None, (7, 3)), ("last week", None, (7, 3)), ("N months? ago", 30, 10),
+        ("a month ago", None, (30, 7)), ("last month", None, (30, 7)), ("a year ago", None, (365, 30)), ("last year", None, (365, 30)), ("recently", None, (14, 14)),
+    )
+)
 
 
 @functools.lru_cache(maxsize=1)
@@ -141,11 +137,12 @@ def asks_for_preference(query: Column) -> Column:
 
 def entities(query: Column) -> Column:
     """Quoted phrases, runs of capitalised words, acronyms and hyphenated words, lower-case, in that order, without repeats."""
+    name, piece = "[A-Z][A-Za-z]+", "[a-zA-Z]{2,}"
     parts = (
         every_match(query, r'"([^"]+)"', 1),
-        every_match(query, _bounded(r"[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)+")),
+        every_match(query, _bounded(rf"{name}(?:\s+{name})+")),
         every_match(query, _bounded(r"[A-Z]{2,}")),
-        every_match(query, _bounded(r"[A-Za-z]{2,}(?:-[A-Za-z]{2,})+")),
+        every_match(query, _bounded(f"{piece}(?:-{piece})+")),
     )
     return F.array_distinct(F.transform(F.concat(*parts), F.lower))
 

@@ -288,7 +288,7 @@ def score_threshold(spark, sf):
     return _ranks(ranking.threshold(_candidates(spark, sf), 0.3))
 
 
-_DATE = r"try_cast(regexp_extract(path, '(?:^|/)memory/(?:[^/]+/)?(\d{4}-\d{2}-\d{2})\.md$', 1) AS DATE)"
+_DATE = r"try_cast(regexp_extract(path, '(^|.*/)memory/([^/]+/|)(\d{4}-\d\d-\d\d)[.]md$', 3) AS DATE)"
 _AGED = f"(SELECT query_id, chunk_id, CASE WHEN d IS NULL THEN score ELSE score * exp(-ln(2) / 3000.0 * greatest(0, {oracle.NOW} - d)) END AS score FROM (SELECT *, {_DATE} AS d FROM cand))"
 
 
@@ -376,8 +376,8 @@ _PHRASES = ("two weeks ago we met", "a couple of days ago", "what did I do yeste
     + " ".join(
         rf"WHEN regexp_matches(q, '{p}', 'i') THEN {v}"
         for p, v in (
-            (r"\d+\s+days?\s+ago", r"regexp_extract(q, '(\d+)\s+days?\s+ago', 1, 'i')::BIGINT"), ("yesterday", "1"), (r"\d+\s+weeks?\s+ago", r"regexp_extract(q, '(\d+)\s+weeks?\s+ago', 1, 'i')::BIGINT * 7"), (r"a\s+week\s+ago", "7"), (r"last\s+week", "7"),
-            (r"\d+\s+months?\s+ago", r"regexp_extract(q, '(\d+)\s+months?\s+ago', 1, 'i')::BIGINT * 30"), (r"a\s+month\s+ago", "30"), (r"last\s+month", "30"), (r"a\s+year\s+ago", "365"), (r"last\s+year", "365"), ("recently", "14"),
+            (r"\d+ +days? +ago", r"regexp_extract(q, '(\d+) +days? +ago', 1, 'i')::BIGINT"), ("yesterday", "1"), (r"\d+ +weeks? +ago", r"regexp_extract(q, '(\d+) +weeks? +ago', 1, 'i')::BIGINT * 7"), (r"a week ago", "7"), (r"last week", "7"),
+            (r"\d+ +months? +ago", r"regexp_extract(q, '(\d+) +months? +ago', 1, 'i')::BIGINT * 30"), (r"a month ago", "30"), (r"last month", "30"), (r"a year ago", "365"), (r"last year", "365"), ("recently", "14"),
         )
     )
     + f" ELSE -1 END)::BIGINT AS days FROM (SELECT query_id, {oracle.digits('query')} AS q FROM asked)",
