@@ -4,18 +4,21 @@ Each text gets a 64-bit SimHash of its words and a 192-bit SimHash of its words
 duplicates when the first differ in at most `radius` bits and the second in at most `check_radius`; groups are the
 connected components, and the smallest doc_id of a group stays.
 
-Search. Of two fingerprints within radius 2t+1, one 32-bit half agrees within t. A product of perfect codes (Golay
-[23,12] with covering radius 3, Hamming [7,4] with radius 1, single bits with radius 0) serves as anchors of a half:
+Search. Of two fingerprints within radius 4t+3, one of four pieces agrees within t. A product of perfect codes (Golay
+[23,12] with covering radius 3, Hamming [7,4] with radius 1, single bits with radius 0) serves as anchors of a piece:
 every value has its home anchor within the covering radius of each block, and is replicated to every anchor within
 covering radius plus excess, excesses summing to t at most. By the triangle inequality a value within t of another
 is replicated to that one's home, so comparing homes with replicas at each anchor finds every pair: the search is
-exact. Which blocks are used depends on how many distinct fingerprints there are and changes the cost alone: more
-blocks mean more anchors, smaller buckets and more replicas.
+exact. Which blocks are used changes the cost alone: more blocks mean more anchors, smaller buckets and more replicas.
+A piece has 16 bits, which one Golay code covers. Both fingerprints go along with a replica, so that only near
+duplicates leave the comparison. Where an anchor gets too many replicas, they are cut into
+slices and its homes go to each.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,13 +28,13 @@ from pyspark.sql import functions as F
 
 from notegrove.llm._shared import bits_of, col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, without, written
 
-#: Bits of the 64 and of the 192 in which near duplicates may differ.
-RADIUS, CHECK_RADIUS = 7, 32
+#: Bits of the 64 and of the 192 in which near duplicates may differ; pieces of the 64.
+RADIUS, CHECK_RADIUS, PIECES = 11, 36, 4
 #: Exponent of a word's count in the first fingerprint: edits weigh little against the words a text repeats.
 POWER = 0.65
 #: (distinct fingerprints up to which a set of blocks is used, the blocks); a block is (length, generator, covering radius).
 GOLAY, HAMMING, BIT = (23, 0b101011100011, 3), (7, 0b1011, 1), (1, 0b1, 0)
-CODES = ((2_000_000, (GOLAY,)), (100_000_000, (GOLAY, HAMMING)), (float("inf"), (GOLAY, HAMMING, BIT, BIT)))
+CODES = ((float("inf"), (GOLAY,)),)
 #: Rows of one Python call in the comparison, about, and fingerprint pairs compared at once.
 BUCKET_ROWS, BLOCK_PAIRS = 400_000, 4_000_000
 PRINTS = ("fp", "v1", "v2", "v3")
@@ -118,56 +121,60 @@ def anchors(halves: np.ndarray, blocks: tuple, most: int) -> tuple[np.ndarray, n
     return home, rows, kept[rows] ^ flat[offsets[syndrome][rows] + within]
 
 
-def _compare(ids: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int) -> tuple[list, list]:
-    """Pairs of a home and a replica with a larger id within the radius."""
+def _compare(ids: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int, check_radius: int) -> tuple[list, list]:
+    """Pairs of a home and a replica with a larger id within both radii."""
     left, right = [], []
-    h, hp = ids[home], prints[home].view(np.uint64)
-    r, rp = ids[~home], prints[~home].view(np.uint64)
+    h, hp = ids[home], prints[home]
+    r, rp = ids[~home], prints[~home]
     step = max(1, BLOCK_PAIRS // max(1, len(r)))
     for at in range(0, len(h), step):
-        near = np.bitwise_count(hp[at : at + step, None] ^ rp[None, :]) <= radius
-        a, b = np.nonzero(near)
-        a, b = h[at : at + step][a], r[b]
-        left.append(a[a < b])
-        right.append(b[a < b])
+        a, b = np.nonzero(np.bitwise_count(hp[at : at + step, :1] ^ rp[None, :, 0]) <= radius)
+        a += at
+        a, b = a[h[a] < r[b]], b[h[a] < r[b]]
+        near = np.bitwise_count(hp[a, 1:] ^ rp[b, 1:]).sum(1) <= check_radius
+        left.append(h[a[near]])
+        right.append(r[b[near]])
     return left, right
 
 
 def near_pairs(distinct: DataFrame, count: int, radius: int = RADIUS, check_radius: int = CHECK_RADIUS, codes: tuple = CODES) -> DataFrame:
     """(a, b), a < b: rows of `distinct` (id, fp, v1, v2, v3; one row per fingerprint) within both radii; a pair can come twice."""
     blocks = next(b for most, b in codes if count <= most)
-    excess = radius // 2
-    replicas = 2 * len(_patterns(blocks, excess)[0]) / (len(_patterns(blocks, excess)[1]) - 1) + 2
+    edges = [64 * k // PIECES for k in range(PIECES + 1)]
+    excess = radius // PIECES
+    replicas = PIECES * len(_patterns(blocks, excess)[0]) / (len(_patterns(blocks, excess)[1]) - 1)
+    most = PIECES << sum(length - generator.bit_length() + 1 for length, generator, _ in blocks)
+    slices = int(count * replicas / most / BUCKET_ROWS) + 1
+    replicas += PIECES * slices
     buckets = max(8, int(count * replicas / BUCKET_ROWS) + 1)
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), 2000):
-                ids, prints = frame["id"].to_numpy()[at : at + 2000], frame["fp"].to_numpy()[at : at + 2000]
-                for half in (0, 1):
-                    value = prints.view(np.uint64) >> np.uint64(32 * half) & np.uint64(0xFFFFFFFF)
+                ids, four = frame["id"].to_numpy()[at : at + 2000], frame[list(PRINTS)].to_numpy()[at : at + 2000]
+                for piece, (start, end) in enumerate(itertools.pairwise(edges)):
+                    value = four[:, 0].astype(np.uint64) >> np.uint64(start) & np.uint64((1 << end - start) - 1)
                     home, rows, anchor = anchors(value.astype(np.int64), blocks, excess)
-                    every = np.concatenate([home, anchor]) | (half << 40)
-                    who = np.concatenate([np.arange(len(ids)), rows])
-                    yield pd.DataFrame({"bucket": (mix(every.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "anchor": every, "home": np.arange(len(every)) < len(home), "id": ids[who], "fp": prints[who]})
+                    own = (mix(ids[rows], 5) % np.uint64(slices)).astype(np.int64)
+                    every = np.concatenate([np.repeat(home, slices) | (np.tile(np.arange(slices), len(home)) << 40), anchor | (own << 40)]) << 2 | piece
+                    who = np.concatenate([np.repeat(np.arange(len(ids)), slices), rows])
+                    yield pd.DataFrame({"bucket": (mix(every.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "anchor": every, "home": np.arange(len(every)) < len(home) * slices, "id": ids[who], **{c: four[who, k] for k, c in enumerate(PRINTS)}})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         anchor = frame["anchor"].to_numpy()
         order = np.argsort(anchor, kind="stable")
-        ids, prints, home, anchor = frame["id"].to_numpy()[order], frame["fp"].to_numpy()[order], frame["home"].to_numpy()[order], anchor[order]
+        ids, prints, home, anchor = frame["id"].to_numpy()[order], np.stack([frame[c].to_numpy().view(np.uint64)[order] for c in PRINTS], 1), frame["home"].to_numpy()[order], anchor[order]
         edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if end - start > 1 and home[start:end].any():
-                a, b = _compare(ids[start:end], prints[start:end], home[start:end], radius)
+                a, b = _compare(ids[start:end], prints[start:end], home[start:end], radius, check_radius)
                 left += a
                 right += b
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
-    found = distinct.select("id", "fp").mapInPandas(spread, "bucket int, anchor long, home boolean, id long, fp long").groupBy("bucket").applyInPandas(compare, "a long, b long")
-    side = lambda x: distinct.select(F.col("id").alias(x), *(F.col(v).alias(f"{x}_{v}") for v in PRINTS[1:]))
-    apart = sum((F.bit_count(F.col(f"a_{v}").bitwiseXOR(F.col(f"b_{v}"))) for v in PRINTS[1:]), F.lit(0))
-    return found.join(side("a"), "a").join(side("b"), "b").filter(apart <= check_radius).select("a", "b")
+    schema = "bucket int, anchor long, home boolean, id long, " + ", ".join(f"{c} long" for c in PRINTS)
+    return distinct.select("id", *PRINTS).mapInPandas(spread, schema).groupBy("bucket").applyInPandas(compare, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
