@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 
 from notegrove.llm._shared import fresh_name
 
-#: (bytes from which the band holds, least ratio, greatest ratio) for whole texts.
-BANDS = ((0, 0.0, 9.0), (64, 0.45, 1.35), (128, 0.36, 1.1), (256, 0.32, 0.95), (512, 0.30, 0.88), (1024, 0.28, 0.84), (2048, 0.26, 0.82), (4096, 0.25, 0.80), (16384, 0.22, 0.80))
+#: (bytes from which the band holds, least ratio, greatest ratio) for whole texts. Below 96 bytes no text shrinks enough to tell prose from random strings.
+BANDS = ((0, 0.0, 9.0), (16, 0.9, 1.6), (32, 0.65, 1.3), (64, 0.45, 1.15), (96, 0.40, 1.02), (128, 0.36, 0.93), (192, 0.34, 0.86), (256, 0.32, 0.79), (512, 0.30, 0.74), (1024, 0.28, 0.70), (2048, 0.26, 0.66), (4096, 0.25, 0.64), (16384, 0.22, 0.62))
 #: Bytes of a chunk, the band of full chunks, and the share of chunks outside it from which a text is rejected.
-CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.28, 0.80), 0.25
+CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.28, 0.64), 0.25
 LEVEL = 3
 SCHEMA = "n_bytes long, ratio double, n_chunks int, bad_chunks int, keep boolean"
 

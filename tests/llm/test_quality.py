@@ -1,4 +1,6 @@
+import base64
 import random
+import string
 from collections import Counter
 
 import numpy as np
@@ -70,6 +72,18 @@ def test_compression_equals_direct_judgement(spark, edge, empty):
     assert compression_rules.compression_report(empty).count() == 0
 
 
+def test_encoded_and_random_strings_are_rejected_and_prose_kept():
+    packer, rng = zstandard.ZstdCompressor(level=3), random.Random(11)
+    for size in (100, 150, 190, 220, 300, 600, 1000, 1500, 3000, 4096, 9000, 20_000):
+        for seed in range(5):
+            encoded = base64.b64encode(rng.randbytes(size)).decode()[:size]
+            mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=size))
+            assert not any(compression_rules.judge(t, packer)[4] for t in (encoded, mixed)), size
+            assert compression_rules.judge(prose(seed, size)[:size], packer)[4], size
+    assert compression_rules.judge(encoded, packer)[3] == 4
+    assert not compression_rules.judge("x" * 40, packer)[4] and compression_rules.judge(prose(3, 6), packer)[4]
+
+
 def brute_rules(rows, support, confidence):
     """All sets of tokens by counting."""
     import itertools
