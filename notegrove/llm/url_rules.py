@@ -14,7 +14,7 @@ from notegrove.llm._shared import written
 
 #: Share of the labelled URLs that hold a rule's tokens and are bad, at least; their number, at least; share of bad ones among those that hold the tokens.
 MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.002, 5, 0.5
-#: The rule's confidence over the share of bad URLs overall, at least.
+#: Factor by which a rule raises the share of bad URLs, or else lowers that of good ones, at least; a rule without good URLs meets it always.
 MIN_LIFT = 1.5
 BAD = "label:bad"
 
@@ -69,7 +69,8 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
     if not bad:
         return spark.createDataFrame([], schema)
     found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / total)), minConfidence=min_confidence).fit(baskets).associationRules
-    rules = found.filter(F.col("consequent")[0] == BAD).filter(F.col("confidence") >= min_lift * bad / total).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    bar = min(min_lift * bad / total, 1 - (1 - bad / total) / min_lift)
+    rules = found.filter(F.col("consequent")[0] == BAD).filter(F.col("confidence") >= bar).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
     rules = written(rules, "rules")
     part = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.explode("tokens").alias("token")).withColumn("one", F.col("less")[0]).filter("token = one").drop("token")
     redundant = rules.select("tokens", "confidence", F.explode("tokens").alias("one")).join(part, "one").filter((F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0)).select("tokens").distinct()

@@ -117,6 +117,15 @@ def test_rules_equal_brute_force(spark):
         assert r.n_rules == len(met) and r.confidence == (max(met) if met else None) and r.blocked == bool(met)
 
 
+def test_rules_are_found_where_most_labels_are_bad(spark):
+    urls = [(k, f"http://{'spam' if k % 2 else 'mixed'}.example.org/{k}", k % 2 == 1 or k % 5 < 3) for k in range(200)]
+    labelled = spark.createDataFrame([(u, b) for _, u, b in urls], "url string, bad boolean")
+    rules = url_rules.mine(labelled)
+    assert {tuple(r.tokens) for r in rules.collect()} == {("host:spam.example.org",), ("sub:spam",)}
+    pages = spark.createDataFrame([(k, u) for k, u, _ in urls], "page_id long, url string")
+    assert {r.page_id for r in url_rules.apply_rules(pages, rules).filter("blocked").collect()} == set(range(1, 200, 2))
+
+
 def test_url_edges(spark):
     urls = [None, "", "not a url", "http://", "https://h.example.com/1?x#y", "https://h.example.com/1?x#y", "ftp://[::1]/99", "http://e.example.com/" + "a/" * 3000 + "2"]
     pages = spark.createDataFrame([(None if k == 1 else k, u, None, "clash", "clash") for k, u in enumerate(urls)], "page_id long, url string, html string, confidence string, key string")
