@@ -134,6 +134,11 @@ def keyword_extract(spark, sf):
     return benchmark(spark, sf).select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
 
+@query()
+def keyword_extract_documents(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
+
+
 @query(f"SELECT doc_id, len(w)::BIGINT AS n_words, len([x FOR x IN w IF list_contains({oracle.STOP}, x)])::BIGINT AS n_stop FROM (SELECT doc_id, regexp_extract_all(text, {oracle.WORD}) AS w FROM documents)")
 def stopword_filter(spark, sf):
     words = text.query_words(F.col("text"))

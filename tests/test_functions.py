@@ -101,3 +101,22 @@ def test_ids(spark):
     ).first()
     assert row.c == hashlib.sha256(b"s:p:1:2:h:m").hexdigest() and row.k == hashlib.sha256(b"p:m:").hexdigest()
     assert re.fullmatch("[0-9a-f]{64}", row.k)
+
+
+def test_keywords_of_documents_equal_brute_force(spark, tmp_path):
+    import re
+
+    from notegrove.functions.stopwords import STOP_WORDS
+    from notegrove.queries import QUERIES
+
+    texts = {1: "The Rocket rocket ROCKET launched 42 big engines in a day", 2: "", 3: "of the", 4: " ".join(f"Word{k % 70} no{k}" for k in range(200)), 5: "The Rocket rocket ROCKET launched 42 big engines in a day"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def brute(text):
+        first = {}
+        for word in re.findall(r"\w+", text):
+            if word.lower() not in STOP_WORDS and not re.fullmatch(r"[a-zA-Z]{1,2}|\d+", word):
+                first.setdefault(word.lower(), word)
+        return " ".join(first.values())
+
+    assert {r.doc_id: r.keywords for r in QUERIES["keyword_extract_documents"](spark, str(tmp_path)).collect()} == {k: brute(t) for k, t in texts.items()}
