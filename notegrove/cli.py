@@ -58,7 +58,7 @@ def run(args: argparse.Namespace, engine: Engine) -> str:
         done = engine.index(args.force) if args.command == "index" else engine.add(os.path.abspath(args.file), args.force)
         return "\n".join(f"{k}: {v:.0f}" if isinstance(v, float) else f"{k}: {v}" for k, v in dataclasses.asdict(done).items())
     if args.command == "files":
-        rows = [r.asDict() for r in (engine.files() if args.source is None else engine.files().filter(f"source = {args.source!r}")).collect()]
+        rows = [r.asDict() for r in engine.files(args.source).collect()]
         return json.dumps(rows, indent=2) if args.json else columns(rows, ["path", "source", "chunks", "size", "is_evergreen"]) if rows else "No files indexed."
     if args.command == "search":
         wanted = {k: getattr(args, k) for k in ("strategy", "max_results", "min_score", "source", "mmr_lambda", "decay_half_life_days")}

@@ -198,7 +198,7 @@ def finite(value: float) -> bool:
     return isinstance(value, (int, float)) and math.isfinite(value)
 
 
-_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType())}
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType()), "array<float>": T.ArrayType(T.FloatType())}
 
 
 def _struct(fields: str) -> T.StructType:
@@ -207,7 +207,9 @@ def _struct(fields: str) -> T.StructType:
 
 
 FILES = _struct("path string, source string, hash string, mtime double, size long")
-CHUNKS = _struct("chunk_id string, path string, source string, start_line int, end_line int, hash string, model string, text string, embedding array<double>, updated_at long")
+CHUNKS = _struct("chunk_id string, path string, source string, start_line int, end_line int, hash string, model string, text string, embedding array<float>, updated_at long")
+POSTINGS = _struct("path string, term string, chunk_id string, dl int, pos int")
+GONE = _struct("path string")
 CACHE = _struct("provider string, model string, provider_key string, hash string, embedding array<double>, dims int, updated_at long")
 META = _struct("key string, value string")
 CANDIDATES = _struct("query_id string, chunk_id string, path string, source string, start_line int, end_line int, text string, score double, vector_score double, text_score double")

@@ -7,12 +7,9 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_DAY = r"\d{4}-\d\d-\d\d"
-DATED_NAME = rf"^{_DAY}[.]md$"
+DATED_NAME = r"^\d{4}-\d{2}-\d{2}\.md$"
 #: A whole folder called memory, at most one folder below it, and a date for a name.
-DATED_PATH = rf"(?<![^/])memory/(?:[^/]+/|)({_DAY})[.]md$"
-#: Year, month and day as groups.
-_YMD = "[/-]".join(rf"(\d{{{n}}})" for n in (4, 2, 2))
+DATED_PATH = r"(?:^|/)memory/(?:[^/]+/)?(\d{4}-\d{2}-\d{2})\.md$"
 
 
 def sha256(text: Column) -> Column:
@@ -81,6 +78,11 @@ def age_days(day: Column, now: Column) -> Column:
     return F.greatest(F.datediff(now, day), F.lit(0)).cast("double")
 
 
+def utc_day(seconds: Column) -> Column:
+    """The UTC day of a time in seconds, whatever the session's zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+
+
 def decay_rate(half_life: float) -> float:
     """Rate per day; 0 for a half-life that is not a positive number."""
     return math.log(2) / half_life if math.isfinite(half_life) and half_life > 0 else 0.0
@@ -92,18 +94,14 @@ def decay_factor(age: Column, rate: float) -> Column:
     return F.when(usable & F.lit(rate > 0), F.exp(-rate * F.greatest(age, F.lit(0.0)))).otherwise(1.0)
 
 
-def mmr_score(relevance: Column, similarity: Column, lam: float) -> Column:
-    return lam * relevance - (1 - lam) * similarity
-
-
 def session_date(text: Column) -> Column:
     """Date of a 'Date: 2024/01/31' header in a text."""
-    return _date_of(text, rf"Date:\s*{_YMD}")
+    return _date_of(text, r"Date:\s*(\d{4})[/-](\d{2})[/-](\d{2})")
 
 
 def question_date(raw: Column) -> Column:
     """First date in a text."""
-    return _date_of(raw, _YMD)
+    return _date_of(raw, r"(\d{4})[/-](\d{2})[/-](\d{2})")
 
 
 def _date_of(text: Column, pattern: str) -> Column:
@@ -143,4 +141,5 @@ def mean_vector(left: Column, right: Column) -> Column:
 
 
 def as_float32(vector: Column) -> Column:
+    """A vector in the form that snapshots keep: half the bytes, seven digits."""
     return vector.cast("array<float>")

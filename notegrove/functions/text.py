@@ -11,19 +11,31 @@ from pyspark.sql import functions as F
 from notegrove.functions.stopwords import RERANK_STOP_WORDS, STOP_WORDS
 
 WORD = r"[\p{L}\p{N}_]+"
-PREFERENCE_WORDS = tuple("tips suggestions interested favorites prefer enjoying advice recommend favourites preference interest suggest enjoyed prefers favorite recommendation enjoy suggestion preferred favourite recommendations".split())
-PREFERENCE_PHRASES = tuple(f"what {rest}" for rest in ("sort", "are my", "type", "is my", "kind", "do i"))
-_NUMBERS = {12: "twelve", 11: "eleven", 10: "ten", 9: "nine", 8: "eight", 7: "seven", 6: "six", 5: "five", 4: "four", 3: "three/a few/few", 2: "two/couple/a couple/couple of/a couple of", 1: "one"}
+#: The words, phrases, numbers and offsets below are data that the specification fixes.
+PREFERENCE_WORDS = (
+    "advice", "enjoy", "enjoyed", "enjoying", "favorite", "favorites", "favourite", "favourites", "interest", "interested", "prefer",
+    "preference", "preferred", "prefers", "recommend", "recommendation", "recommendations", "suggest", "suggestion", "suggestions", "tips",
+)
+PREFERENCE_PHRASES = ("what are my", "what do i", "what is my", "what kind", "what sort", "what type")
 #: (spelling, number), longest spelling first.
-NUMBER_WORDS = tuple(sorted(((w, n) for n, words in _NUMBERS.items() for w in words.split("/")), key=lambda x: (-len(x[0]), x[0])))
-#: (pattern, days for each unit of its number or none, tolerance or days and tolerance); a blank is any white space. The first that matches counts.
-OFFSETS = tuple(
-    (pattern.replace("N", r"(\d+)").replace(" ", r"\s+"), unit, rest)
-    for pattern, unit, rest in (
-        ("N days? ago", 1, 2), ("yesterday", None, (1, 1)), ("N weeks? ago", 7, 5), ("a week ago", None, (7, 3)), ("last week", None, (7, 3)), ("N months? ago", 30, 10),
-        ("a month ago", None, (30, 7)), ("last month", None, (30, 7)), ("a year ago", None, (365, 30)), ("last year", None, (365, 30)), ("recently", None, (14, 14)),
-    )
+NUMBER_WORDS = (
+    ("a couple of", 2), ("a couple", 2), ("couple of", 2), ("couple", 2), ("eleven", 11), ("twelve", 12), ("a few", 3), ("eight", 8), ("seven", 7),
+    ("three", 3), ("five", 5), ("four", 4), ("nine", 9), ("few", 3), ("one", 1), ("six", 6), ("ten", 10), ("two", 2),
 )
+#: (pattern, days for each unit of the number in its group or none, tolerance or days and tolerance). The first that matches counts.
+OFFSETS = (
+    (r"(\d+)\s+days?\s+ago", 1, 2),
+    (r"yesterday", None, (1, 1)),
+    (r"(\d+)\s+weeks?\s+ago", 7, 5),
+    (r"a\s+week\s+ago", None, (7, 3)),
+    (r"last\s+week", None, (7, 3)),
+    (r"(\d+)\s+months?\s+ago", 30, 10),
+    (r"a\s+month\s+ago", None, (30, 7)),
+    (r"last\s+month", None, (30, 7)),
+    (r"a\s+year\s+ago", None, (365, 30)),
+    (r"last\s+year", None, (365, 30)),
+    (r"recently", None, (14, 14)),
+)
 
 
 @functools.lru_cache(maxsize=1)
@@ -86,9 +98,14 @@ def is_keyword(token: Column) -> Column:
 
 
 def first_spellings(tokens: Column) -> Column:
-    """Tokens without repeats in another case, first spellings in order."""
-    lowered = F.transform(tokens, F.lower)
-    return F.filter(tokens, lambda t, i: F.array_position(lowered, F.lower(t)) == i + 1)
+    """Tokens without repeats in another case, first spellings in order.
+
+    Tokens are sorted by their lower case and place, so that each is compared with its neighbour alone.
+    """
+    order = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("own"))))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.transform(order, lambda x: x["low"]))
+    pairs = F.filter(F.zip_with(order, F.slice(before, F.lit(1), F.size(tokens)), lambda x, y: F.struct(x["at"].alias("at"), x["own"].alias("own"), (y.isNull() | (x["low"] != y)).alias("first"))), lambda x: x["first"])
+    return F.transform(F.array_sort(pairs), lambda x: x["own"])
 
 
 def keywords(query: Column) -> Column:
@@ -137,12 +154,11 @@ def asks_for_preference(query: Column) -> Column:
 
 def entities(query: Column) -> Column:
     """Quoted phrases, runs of capitalised words, acronyms and hyphenated words, lower-case, in that order, without repeats."""
-    name, piece = "[A-Z][A-Za-z]+", "[a-zA-Z]{2,}"
     parts = (
         every_match(query, r'"([^"]+)"', 1),
-        every_match(query, _bounded(rf"{name}(?:\s+{name})+")),
+        every_match(query, _bounded(r"[A-Z][a-zA-Z]+(?:\s+[A-Z][a-zA-Z]+)+")),
         every_match(query, _bounded(r"[A-Z]{2,}")),
-        every_match(query, _bounded(f"{piece}(?:-{piece})+")),
+        every_match(query, _bounded(r"[A-Za-z]{2,}(?:-[A-Za-z]{2,})+")),
     )
     return F.array_distinct(F.transform(F.concat(*parts), F.lower))
 
@@ -159,9 +175,8 @@ def topic_pairs(text: Column) -> Column:
     return F.zip_with(left, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
 
 
-def share_found(wanted: Column, text: Column) -> Column:
-    """Share of the wanted strings that occur in the lower-cased text; 0 when none is wanted."""
-    lowered = F.lower(text)
+def share_found(wanted: Column, lowered: Column) -> Column:
+    """Share of the wanted strings that occur in a lower-cased text; 0 when none is wanted."""
     return F.when(F.size(wanted) > 0, F.size(F.filter(wanted, lambda e: F.contains(lowered, e))) / F.size(wanted)).otherwise(0.0)
 
 
@@ -174,7 +189,12 @@ def with_digits(text: Column) -> Column:
 
 def time_offset(query: Column) -> Column:
     """struct(days, tolerance) that a query reaches back; null when it names none."""
-    plain, out = with_digits(query), None
+    return digit_offset(with_digits(query))
+
+
+def digit_offset(plain: Column) -> Column:
+    """time_offset of a text whose numbers are digits already."""
+    out = None
     for pattern, unit, rest in OFFSETS:
         if unit is None:
             value = F.struct(F.lit(rest[0]).cast("long").alias("days"), F.lit(rest[1]).cast("int").alias("tolerance"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from notegrove.functions import scalar, text
+from notegrove.sources.shared import kept
 
 
 def ranked(candidates: DataFrame, by: str = "score") -> DataFrame:
@@ -20,6 +21,11 @@ def ranked(candidates: DataFrame, by: str = "score") -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with one more column, computed once a row even where it is used for every element of an array."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def threshold(candidates: DataFrame, least: float) -> DataFrame:
     return candidates.filter(F.col("score") >= least)
 
@@ -29,7 +35,7 @@ def reference_date(path: Column, mtime: Column | None = None) -> Column:
     day = scalar.path_date(path)
     if mtime is None:
         return day
-    return F.coalesce(day, F.when(~scalar.evergreen_path(path), F.to_date(F.timestamp_seconds(mtime))))
+    return F.coalesce(day, F.when(~scalar.evergreen_path(path), scalar.utc_day(mtime)))
 
 
 def temporal_decay(candidates: DataFrame, half_life: float, now: Column, files: DataFrame | None = None) -> DataFrame:
@@ -98,26 +104,35 @@ def _doubt(confidence: Column) -> Column:
     return 1 - confidence / F.when(most > 0, most).otherwise(1.0)
 
 
-def entity_boost(candidates: DataFrame, alpha: Column | float = 0.3) -> DataFrame:
-    """min(1, score + alpha * doubt * share of the query's entities found); not for questions of preference.
+def entity_share(candidates: DataFrame) -> DataFrame:
+    """A column __share: the share of the query's entities found in the text; null for questions of preference and for queries without any.
 
     A query without entities is matched by its topic words, repeats included.
     """
     query = F.col("query")
-    named = text.entities(query)
-    wanted = F.when(F.size(named) > 0, named).otherwise(text.topic_words(query))
-    boosted = F.least(F.lit(1.0), F.col("score") + F.lit(alpha) * _doubt(F.coalesce("vector_score", "score")) * F.col("__signal"))
-    skip = text.asks_for_preference(query) | (F.size(wanted) == 0)
-    tagged = candidates.withColumn("__skip", skip).withColumn("__signal", text.share_found(wanted, F.col("text")))
-    return tagged.withColumn("score", F.when(F.col("__skip"), F.col("score")).otherwise(boosted)).drop("__skip", "__signal")
+    tagged = once(candidates, "__named", text.entities(query))
+    tagged = once(tagged, "__e", F.struct(F.when(F.size("__named") > 0, F.col("__named")).otherwise(text.topic_words(query)).alias("wanted"), F.lower("text").alias("low"), text.asks_for_preference(query).alias("skip")))
+    share = F.when(~F.col("__e.skip") & (F.size("__e.wanted") > 0), text.share_found(F.col("__e.wanted"), F.col("__e.low")))
+    return once(tagged, "__share", share).drop("__e", "__named")
 
 
-def rarity_boost(candidates: DataFrame, alpha: Column | float = 0.6, pairs: bool = False) -> DataFrame:
-    """min(1, score * (1 + alpha * overlap)), overlap being the share of the query's idf that a chunk holds.
+def by_entities(alpha: Column | float) -> Column:
+    boosted = F.least(F.lit(1.0), F.col("score") + F.lit(alpha) * _doubt(F.coalesce("vector_score", "score")) * F.col("__share"))
+    return F.when(F.col("__share").isNull(), F.col("score")).otherwise(boosted)
+
+
+def entity_boost(candidates: DataFrame, alpha: Column | float = 0.3) -> DataFrame:
+    """min(1, score + alpha * doubt * share of the query's entities found); see entity_share."""
+    return entity_share(candidates).withColumn("score", by_entities(alpha)).drop("__share")
+
+
+def rarity_overlap(candidates: DataFrame, pairs: bool = False) -> DataFrame:
+    """A column __overlap: the share of the query's idf that a chunk holds; null where that idf is not positive.
 
     idf = ln(sessions / (1 + sessions with the term)) over the query's own candidates; a session is a file stem. A
     pair counts as found in a text as a string, for a session in its chunks joined by spaces in order of score.
     """
+    candidates = kept(candidates, "candidates")  # read four times below
     query, words = F.col("query"), F.array_distinct(text.topic_words(F.col("query")))
     terms = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(False).alias("pair")))
     if pairs:
@@ -131,23 +146,55 @@ def rarity_boost(candidates: DataFrame, alpha: Column | float = 0.6, pairs: bool
     has = F.when(F.col("pair"), F.contains("low", "term")).otherwise(F.array_contains("have", F.col("term")))
     df = vocab.join(sessions, "query_id").groupBy("query_id", "term", "pair").agg(F.count_if(has).alias("df"))
     idf = df.join(total, "query_id").select("query_id", "term", "pair", F.log(F.col("n") / (1 + F.col("df"))).alias("idf"))
-    sums = idf.groupBy("query_id").agg(F.sum("idf").alias("sum_idf"), F.collect_list(F.struct("term", "pair", "idf")).alias("idfs"))
+    # in order of term: sums in any other order could differ in their last bit, and ranks with them
+    sums = idf.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("term", "pair", "idf"))).alias("idfs"))
+    sums = sums.withColumn("sum_idf", F.aggregate("idfs", F.lit(0.0), lambda s, t: s + t["idf"]))
     low, own = F.lower("text"), tokens(F.col("text"))
-    with_sums = candidates.join(sums, "query_id", "left").withColumn("__own", own).withColumn("__low", low)
-    found = F.aggregate(F.filter("idfs", lambda t: F.when(t["pair"], F.contains(F.col("__low"), t["term"])).otherwise(F.array_contains(F.col("__own"), t["term"]))), F.lit(0.0), lambda s, t: s + t["idf"])
-    boosted = F.least(F.lit(1.0), F.col("score") * (1 + F.lit(alpha) * found / F.col("sum_idf")))
-    return with_sums.withColumn("score", F.when(F.col("sum_idf") > 0, boosted).otherwise(F.col("score"))).select(*candidates.columns)
+    with_sums = once(candidates.join(sums, "query_id", "left"), "__t", F.struct(own.alias("own"), low.alias("low")))
+    found = F.aggregate(F.filter("idfs", lambda t: F.when(t["pair"], F.contains(F.col("__t.low"), t["term"])).otherwise(F.array_contains(F.col("__t.own"), t["term"]))), F.lit(0.0), lambda s, t: s + t["idf"])
+    return once(with_sums, "__overlap", F.when(F.col("sum_idf") > 0, found / F.col("sum_idf"))).select(*candidates.columns, "__overlap")
 
 
-def date_boost(candidates: DataFrame, alpha: Column | float = 0.4) -> DataFrame:
-    """min(1, score + alpha * doubt * nearness of the chunk's session date to the day that the query speaks of).
+def by_rarity(alpha: Column | float) -> Column:
+    return F.when(F.col("__overlap").isNull(), F.col("score")).otherwise(F.least(F.lit(1.0), F.col("score") * (1 + F.lit(alpha) * F.col("__overlap"))))
+
+
+def rarity_boost(candidates: DataFrame, alpha: Column | float = 0.6, pairs: bool = False) -> DataFrame:
+    """min(1, score * (1 + alpha * overlap)); see rarity_overlap."""
+    return rarity_overlap(candidates, pairs).withColumn("score", by_rarity(alpha)).drop("__overlap")
+
+
+def date_nearness(candidates: DataFrame) -> DataFrame:
+    """A column __near: nearness of the chunk's session date to the day that the query speaks of, 0 where either is missing.
 
-    Needs `question_date` (text). Queries that name no offset and rows without a date are left as they are.
+    Needs `question_date` (text).
     """
-    offset = text.time_offset(F.col("query"))
-    asked = scalar.question_date(F.col("question_date"))
-    target = F.date_sub(asked, offset["days"].cast("int"))
-    near = scalar.window_score(F.abs(F.datediff(scalar.session_date(F.col("text")), target)), offset["tolerance"])
-    tagged = candidates.withColumn("__near", F.when(target.isNotNull() & scalar.session_date(F.col("text")).isNotNull(), near).otherwise(0.0))
+    tagged = once(candidates, "__plain", text.with_digits(F.col("query")))
+    tagged = once(tagged, "__o", F.struct(text.digit_offset(F.col("__plain")).alias("offset"), scalar.question_date(F.col("question_date")).alias("asked"), scalar.session_date(F.col("text")).alias("day")))
+    target = F.date_sub(F.col("__o.asked"), F.col("__o.offset.days").cast("int"))
+    near = scalar.window_score(F.abs(F.datediff(F.col("__o.day"), target)), F.col("__o.offset.tolerance"))
+    tagged = once(tagged, "__near", F.when(target.isNotNull() & F.col("__o.day").isNotNull(), near).otherwise(0.0))
+    return tagged.drop("__o", "__plain")
+
+
+def by_date(alpha: Column | float) -> Column:
     boosted = F.least(F.lit(1.0), F.col("score") + F.lit(alpha) * _doubt(F.coalesce("vector_score", "score")) * F.col("__near"))
-    return tagged.withColumn("score", F.when(F.col("__near") > 0, boosted).otherwise(F.col("score"))).drop("__near")
+    return F.when(F.col("__near") > 0, boosted).otherwise(F.col("score"))
+
+
+def date_boost(candidates: DataFrame, alpha: Column | float = 0.4) -> DataFrame:
+    """min(1, score + alpha * doubt * nearness); see date_nearness."""
+    return date_nearness(candidates).withColumn("score", by_date(alpha)).drop("__near")
+
+
+def boosted(candidates: DataFrame, alphas: dict[str, Column | float]) -> DataFrame:
+    """The three boosts one after the other. What they weigh is found once, whatever the number of settings that `alphas` stands for."""
+    out = candidates
+    for name, by, feature in (("ec_alpha", by_entities, "__share"), ("idf_alpha", by_rarity, "__overlap"), ("date_alpha", by_date, "__near")):
+        out = out.withColumn("score", by(alphas[name])).drop(feature)
+    return out
+
+
+def boost_features(candidates: DataFrame) -> DataFrame:
+    """What `boosted` needs of each candidate."""
+    return date_nearness(rarity_overlap(entity_share(candidates)))

@@ -16,8 +16,9 @@ from notegrove.config import EngineConfig, FlushError, GroveError, IndexError_,
 from notegrove.functions import scalar
 from notegrove.operators import ranking, search
 from notegrove.plans import index
-from notegrove.plans.embedders import EmbeddingProvider, HashEmbedder
+from notegrove.plans.embedders import EmbeddingProvider, HashEmbedder, embed
 from notegrove.sources import files
+from notegrove.sources.shared import kept
 
 log = logging.getLogger("notegrove")
 FINGERPRINT, SILENT = "provider_fingerprint", "NO_REPLY"
@@ -51,12 +52,17 @@ Step = Callable[[DataFrame, dict], DataFrame]
 
 
 class Engine:
-    """Not thread-safe. Opens at first use; `close` stops a running watch."""
+    """Not thread-safe. Opens at first use; `close` stops a running watch.
 
-    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, provider: EmbeddingProvider | None = None) -> None:
+    With a corpus, a table of chunks and its keyword index, it searches that and has no workspace to index.
+    """
+
+    def __init__(self, spark: SparkSession, config: EngineConfig | None = None, provider: EmbeddingProvider | None = None, corpus: tuple[DataFrame, search.KeywordIndex] | None = None) -> None:
         self.spark, self.config = spark, config or EngineConfig()
         self.workspace = os.path.abspath(self.config.workspace_dir)
-        self.folder = os.path.abspath(self.config.snapshot_dir or os.path.join(self.workspace, files.OWN_FOLDER))
+        folder = self.config.snapshot_dir or os.path.join(self.workspace, files.OWN_FOLDER)
+        self.folder = folder if "://" in folder else f"file://{os.path.abspath(folder)}"
+        self.corpus = corpus
         self.provider = provider if provider is not None else HashEmbedder() if self.config.vectors else None
         self.snapshots = index.Snapshots(spark, self.folder)
         self.strategies: dict[str, Strategy] = {}
@@ -71,7 +77,8 @@ class Engine:
         self.close()
 
     def open(self) -> Engine:
-        os.makedirs(self.folder, exist_ok=True)
+        if self.corpus is not None:
+            self._dirty = False
         if self._dirty is None:
             try:
                 self._dirty = bool(index.is_dirty(self._disk(), self.table("files")).first()[0])
@@ -92,7 +99,7 @@ class Engine:
         return self.snapshots.read(name)
 
     def create_views(self) -> None:
-        """files, chunks, embedding_cache and meta as views for SQL."""
+        """files, chunks, postings, embedding_cache and meta as views for SQL."""
         for name in index.TABLES:
             self.table(name).createOrReplaceTempView("embedding_cache" if name == "cache" else name)
 
@@ -131,7 +138,7 @@ class Engine:
         disk = disk.persist()
         kept = [disk]
         try:
-            stored, old, cache = self.table("files"), self.table("chunks"), self.table("cache")
+            stored, cache, added, replaced = self.table("files"), self.table("cache"), {}, {}
             changes = index.change_set(disk, stored).persist()
             kept.append(changes)
             count = dict(changes.groupBy("change").count().collect())
@@ -151,19 +158,22 @@ class Engine:
                 cached = hits.filter("hit").select("hash").distinct().count()
                 computed = rows.count()
                 if self.config.cache.enabled:
-                    cache = index.evict(index.upsert(cache, rows, index.CACHE_KEY), self.config.cache.max_entries)
+                    most = self.config.cache.max_entries
+                    if most is not None and computed and cache.count() + computed > most:
+                        replaced["cache"] = index.evict(index.upsert(cache, rows, index.CACHE_KEY), most)
+                    elif computed:
+                        added["cache"] = rows
             else:
                 chunks = chunks.withColumn("embedding", F.lit(None).cast("array<double>"))
-            touched = wanted.select("path").union(gone.select("path"))
-            tables = {
-                "files": stored.join(touched, "path", "left_anti").unionByName(fresh.select("path", "source", "hash", "mtime", "size")),
-                "chunks": old.join(touched, "path", "left_anti").unionByName(chunks.dropDuplicates(["chunk_id"]).withColumn("updated_at", F.lit(now).cast("long")).select(*old.columns)),
-                "cache": cache,
-            }
+            if not wanted.isEmpty():
+                added["files"] = fresh.select("path", "source", "hash", "mtime", "size")
+                added["chunks"] = chunks.withColumn("updated_at", F.lit(now).cast("long")).withColumn("embedding", scalar.as_float32(F.col("embedding")))
+                added["postings"] = index.new_postings(chunks)
+            touched = wanted.select("path").union(gone.select("path")).join(stored.select("path"), "path", "left_semi")
             if meta is not None:
                 rows = self.spark.createDataFrame([(FINGERPRINT, meta), ("schema_version", index.SCHEMA_VERSION)], index.META)
-                tables["meta"] = index.upsert(self.table("meta"), rows, ["key"])
-            self.snapshots.commit(tables)
+                replaced["meta"] = index.upsert(self.table("meta"), rows, ["key"])
+            self.snapshots.commit(added, replaced, None if touched.isEmpty() else touched)
         except GroveError:
             raise
         except Exception as e:
@@ -213,7 +223,7 @@ class Engine:
             half_life = settings.get("decay_half_life_days")
             if q.temporal_decay.enabled or half_life is not None:
                 now = F.lit(settings.get("now") or datetime.date.today()).cast("date")
-                found = ranking.temporal_decay(found, q.temporal_decay.half_life_days if half_life is None else half_life, now, self.table("files"))
+                found = ranking.temporal_decay(found, q.temporal_decay.half_life_days if half_life is None else half_life, now, self.table("files") if self.corpus is None else None)
             lam = settings.get("mmr_lambda")
             if q.mmr.enabled or lam is not None:
                 found = ranking.diversify(found, q.mmr.lambda_param if lam is None else lam)
@@ -230,29 +240,35 @@ class Engine:
             raise SearchError(str(e)) from e
 
     def _candidates(self, queries: DataFrame, name: str, limit: int, source: str | None) -> DataFrame:
-        chunks, hybrid = self.table("chunks"), self.config.query.hybrid
+        hybrid = self.config.query.hybrid
+        chunks = self.table("chunks") if self.corpus is None else self.corpus[0]
         if name in self.strategies:
             return self.strategies[name](SearchContext(chunks, queries, limit, source))
         if name not in ("keyword", "vector", "hybrid"):
             raise StrategyError(f"no strategy is called {name}")
         filters = {"model": self._model, "source": source}
+        words = index.stored_index(chunks, self.table("postings")) if self.corpus is None and name != "vector" else self.corpus and self.corpus[1]
         if name == "keyword" or (name == "hybrid" and self.provider is None):
-            return search.keyword_search(chunks, queries, limit, **filters)
+            return search.keyword_search(chunks, queries, limit, index=words, **filters)
         if self.provider is None:
             raise VectorsUnavailable("vectors are switched off")
-        asked = queries.toPandas()
-        asked["vec"] = self.provider.embed_batch(asked["query"].tolist())
-        asked = self.spark.createDataFrame(asked[["query_id", "query", "vec"]], "query_id string, query string, vec array<double>")
+        texts = queries.select(F.col("query").alias("text")).distinct().withColumn("hash", scalar.sha256(F.col("text")))
+        vectors = kept(embed(texts, self.provider).withColumnRenamed("embedding", "vec"), "queries")  # one call a text
+        asked = queries.withColumn("hash", scalar.sha256(F.col("query"))).join(vectors, "hash").select("query_id", "query", "vec")
         if name == "vector":
             return search.vector_search(chunks, asked, limit, **filters)
-        return search.hybrid_search(chunks, asked, limit, vector_weight=hybrid.vector_weight, text_weight=hybrid.text_weight, **filters)
+        return search.hybrid_search(chunks, asked, limit, index=words, vector_weight=hybrid.vector_weight, text_weight=hybrid.text_weight, **filters)
 
     # --- the rest -----------------------------------------------------------------------------------------------
 
-    def files(self) -> DataFrame:
-        """One row a file: path, size, hash, mtime, chunks, is_evergreen, source."""
+    def files(self, source: str | None = None) -> DataFrame:
+        """One row a file, of one source or all: path, size, hash, mtime, chunks, is_evergreen, source."""
         self.open()
-        return index.file_info(self.table("files"), self.table("chunks"), self.config.evergreen_patterns).orderBy("path")
+        return index.file_info(index.of_source(self.table("files"), source), self.table("chunks"), self.config.evergreen_patterns).orderBy("path")
+
+    def chunks(self, path: str) -> DataFrame:
+        """A file's chunks from top to bottom."""
+        return index.chunks_of(self.table("chunks"), path).orderBy("nth")
 
     def status(self) -> dict:
         self.open()
@@ -265,7 +281,7 @@ class Engine:
     def clear_cache(self) -> int:
         """Drops all cached embeddings; how many there were."""
         n = self.table("cache").count()
-        self.snapshots.commit({"cache": self.spark.createDataFrame([], index.CACHE)})
+        self.snapshots.commit({}, {"cache": self.spark.createDataFrame([], index.CACHE)})
         return n
 
     def flush(self, conversation: list[dict], extract: Callable[[list[dict]], str | None], system_prompt: str | None = None, today: datetime.date | None = None) -> str | None:
@@ -292,7 +308,7 @@ class Engine:
 
         self.open()
         if self.watch is None:
-            self.watch = watch_workspace(self.spark, self.workspace, lambda: self.index(), self.config.sync.watch_debounce_ms)
+            self.watch = watch_workspace(self.spark, self.workspace, lambda: self.index(), self.config.sync.watch_debounce_ms, checkpoint=f"{self.folder}/_watch")
 
     def stop_watching(self) -> None:
         if self.watch is not None:
@@ -301,6 +317,6 @@ class Engine:
 
     def with_query(self, **changes) -> Engine:
         """An engine over the same snapshots with other query settings."""
-        other = Engine(self.spark, replace(self.config, query=replace(self.config.query, **changes)), self.provider)
+        other = Engine(self.spark, replace(self.config, query=replace(self.config.query, **changes)), self.provider, self.corpus)
         other.strategies, other.steps = dict(self.strategies), list(self.steps)
         return other

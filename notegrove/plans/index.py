@@ -1,66 +1,118 @@
 """What an index run does, as joins of the new and the stored state, and the snapshots it writes.
 
-A snapshot is a folder of Parquet tables; the file _CURRENT names the one in force and is replaced last, so a run
-that fails leaves the old one in force.
+A run adds segments: folders of Parquet rows that are new in it, and the paths whose older rows no longer count. What
+did not change is not written again. A log of small files, one a version, says which segments are in force; a version
+counts once its log file is there, so a run that fails leaves the one before in force. All files are written through
+Hadoop's file systems.
 """
 
 from __future__ import annotations
 
-import os
-import shutil
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from notegrove.config import CACHE, CHUNKS, FILES, META, ChunkingConfig, StorageError
+from notegrove.config import CACHE, CHUNKS, FILES, GONE, META, POSTINGS, ChunkingConfig, StorageError
 from notegrove.functions import scalar
+from notegrove.operators import search
 from notegrove.operators.chunking import chunk_texts
 from notegrove.plans import embedders
 
-TABLES = {"files": FILES, "chunks": CHUNKS, "cache": CACHE, "meta": META}
-SCHEMA_VERSION = "1"
+TABLES = {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "cache": CACHE, "meta": META}
+#: Tables whose rows go when their path is written anew or deleted.
+BY_PATH = ("files", "chunks", "postings")
+SCHEMA_VERSION = "2"
 CACHE_KEY = ("provider", "model", "provider_key", "hash")
+#: Segments of a table from which a run writes it whole.
+MOST_SEGMENTS = 16
 
 
 class Snapshots:
-    """Versions of the tables below one folder."""
+    """Versions of the tables below one folder, a local path or a URI."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = spark, folder.rstrip("/")
+        jvm = spark._jvm.org.apache.hadoop.fs
+        self._path = jvm.Path
+        self._fs = jvm.Path(self.folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _listed(self, name: str) -> list[str]:
+        place = self._path(f"{self.folder}/{name}")
+        return [f.getPath().getName() for f in self._fs.listStatus(place)] if self._fs.exists(place) else []
 
     @property
     def current(self) -> int | None:
+        """The version in force."""
+        return max((int(n[:-5]) for n in self._listed("_log") if n.endswith(".json") and n[:-5].isdigit()), default=None)
+
+    def segments(self, version: int | None = None) -> dict[str, list[int]]:
+        """Table -> versions whose segments are in force."""
+        version = self.current if version is None else version
+        if version is None:
+            return {}
+        stream = self._fs.open(self._path(f"{self.folder}/_log/{version:010d}.json"))
         try:
-            with open(os.path.join(self.folder, "_CURRENT")) as f:
-                return int(f.read())
-        except FileNotFoundError:
-            return None
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         except ValueError as e:
-            raise StorageError(f"{self.folder}/_CURRENT is damaged") from e
+            raise StorageError(f"the log of {self.folder} is damaged at version {version}") from e
+        finally:
+            stream.close()
+
+    def _rows(self, name: str, schema, versions: list[int]) -> DataFrame:
+        if not versions:
+            return self.spark.createDataFrame([], schema).withColumn("v", F.lit(0))
+        places = [f"{self.folder}/{name}/v={n}" for n in versions]
+        return self.spark.read.option("basePath", f"{self.folder}/{name}").schema(StructType([*schema.fields, StructField("v", IntegerType())])).parquet(*places)
 
     def read(self, name: str) -> DataFrame:
-        if self.current is None:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/v{self.current}/{name}")
-
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Writes a version: the given tables, and the others as they are; keeps the version before it."""
-        old = self.current
-        new = (old or 0) + 1
-        place = os.path.join(self.folder, f"v{new}")
-        shutil.rmtree(place, ignore_errors=True)
-        try:
-            for name, schema in TABLES.items():
-                rows = tables[name] if name in tables else self.read(name)
-                rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)).write.parquet(f"{place}/{name}")
-        except Exception:
-            shutil.rmtree(place, ignore_errors=True)
-            raise
-        with open(os.path.join(self.folder, "_NEXT"), "w") as f:
-            f.write(str(new))
-        os.replace(os.path.join(self.folder, "_NEXT"), os.path.join(self.folder, "_CURRENT"))
-        if old and old > 1:
-            shutil.rmtree(os.path.join(self.folder, f"v{old - 1}"), ignore_errors=True)
+        """The rows of a table that are in force."""
+        segments = self.segments()
+        rows = self._rows(name, TABLES[name], segments.get(name, []))
+        if name in BY_PATH and segments.get("gone"):
+            gone = self._rows("gone", GONE, segments["gone"]).groupBy("path").agg(F.max("v").alias("gone_v"))
+            rows = rows.join(gone, (rows["path"] == gone["path"]) & (F.col("v") < F.col("gone_v")), "left_anti")
+        return rows.drop("v")
+
+    def commit(self, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, gone: DataFrame | None = None) -> None:
+        """Writes a version: rows added to tables, tables replaced whole, and paths whose rows of older versions go.
+
+        Rows added for such a path count. The version before stays readable, older ones are deleted.
+        """
+        old, replaced = self.current, dict(replaced or {})
+        before, new = self.segments(old), (old or 0) + 1
+        if max((len(v) for v in before.values()), default=0) >= MOST_SEGMENTS:
+            lost = gone.select("path") if gone is not None else None
+            for name in BY_PATH:
+                rows = self.read(name) if lost is None else self.read(name).join(lost, "path", "left_anti")
+                replaced[name] = rows.unionByName(added[name].select(*rows.columns)) if name in added else rows
+            replaced["cache"] = replaced.get("cache", self.read("cache").unionByName(added["cache"].select(*CACHE.names)) if "cache" in added else self.read("cache"))
+            added, gone, before = {}, None, {k: v for k, v in before.items() if k != "gone"}
+        after = {name: [] if name in replaced else list(before.get(name, [])) for name in (*TABLES, "gone")}
+        for name, rows in [*added.items(), *replaced.items(), *([("gone", gone)] if gone is not None else [])]:
+            schema = GONE if name == "gone" else TABLES[name]
+            rows = rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema))
+            rows = rows.sortWithinPartitions("term", "chunk_id") if name == "postings" else rows
+            rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/v={new}")
+            after[name].append(new)
+        draft, final = self._path(f"{self.folder}/_log/{new:010d}.draft"), self._path(f"{self.folder}/_log/{new:010d}.json")
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(after).encode()))
+        out.close()
+        if self._fs.exists(final) or not self._fs.rename(draft, final):
+            raise StorageError(f"version {new} of {self.folder} was written by another run")
+        self._clean({k: {*after.get(k, ()), *before.get(k, ()), *(self.segments(old).get(k, ()) if old else ())} for k in after}, {old, new})
+
+    def _clean(self, used: dict[str, set[int]], versions: set) -> None:
+        """Deletes segments that neither the version in force nor the one before has, and older logs."""
+        for name, numbers in used.items():
+            for folder in self._listed(name):
+                if folder.startswith("v=") and int(folder[2:]) not in numbers:
+                    self._fs.delete(self._path(f"{self.folder}/{name}/{folder}"), True)
+        for file in self._listed("_log"):
+            if file.split(".")[0].isdigit() and int(file.split(".")[0]) not in versions:
+                self._fs.delete(self._path(f"{self.folder}/_log/{file}"), False)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: tuple[str, ...] | list[str]) -> DataFrame:
@@ -92,7 +144,29 @@ def new_chunks(files: DataFrame, model: str, config: ChunkingConfig | None = Non
     """Chunks of (path, source, text) with their digests and ids; of equal ids one row stays."""
     made = chunk_texts(files.select("path", "source", "text"), config).withColumn("hash", scalar.sha256(F.col("text"))).withColumn("model", F.lit(model))
     key = scalar.chunk_id(F.col("source"), F.col("path"), F.col("start_line"), F.col("end_line"), F.col("hash"), F.col("model"))
-    return made.withColumn("chunk_id", key).drop("chunk_no")
+    return made.withColumn("chunk_id", key).drop("chunk_no").dropDuplicates(["chunk_id"])
+
+
+def new_postings(chunks: DataFrame) -> DataFrame:
+    """(path, term, chunk_id, dl, pos) of chunks."""
+    return search.postings(chunks, "path")
+
+
+def stored_index(chunks: DataFrame, postings: DataFrame) -> search.KeywordIndex:
+    """An index of stored postings, sorted by term in each file; its statistics come from two row counts."""
+    n, tokens = chunks.count(), postings.count()
+    return search.KeywordIndex(postings, chunks.sparkSession.range(1).select(F.lit(n).alias("n"), F.lit(tokens / n if n else None).cast("double").alias("avgdl")))
+
+
+def chunks_of(chunks: DataFrame, path: str | None = None) -> DataFrame:
+    """Chunks of one path, or of all of them, with their place `nth` in the file from 1: by first line, then last line, then id."""
+    rows = chunks if path is None else chunks.filter(F.col("path") == path)
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("start_line", "end_line", "chunk_id")))
+
+
+def of_source(rows: DataFrame, source: str | None) -> DataFrame:
+    """Rows of one source, or all."""
+    return rows if source is None else rows.filter(F.col("source") == F.lit(source))
 
 
 def cache_lookup(chunks: DataFrame, cache: DataFrame, provider: str, model: str, key: str) -> DataFrame:

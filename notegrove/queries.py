@@ -13,8 +13,10 @@ from notegrove.functions import scalar, text
 from notegrove.operators import evaluate, ranking, search
 from notegrove.operators.chunking import chunk_texts
 from notegrove.plans import index
+from notegrove.plans.engine import Engine
 from notegrove.sources import adapters
 from notegrove.sources.files import session_notes
+from notegrove.sources.shared import kept, shared_path
 from notegrove.streaming.watch import debounce
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,7 +28,6 @@ def now() -> Column:
     return F.lit(adapters.NOW).cast("date")
 
 
-
 def query(sql: str | None = None, **parts: str):
     """Registers a function of (spark, sf_dir) under its name; parts stand in for named parts of the SQL."""
 
@@ -121,6 +122,18 @@ def chunk_counts_per_file(spark, sf):
     return adapters.chunks(spark, sf).groupBy("path").agg(F.count("*").alias("n_chunks"), F.max("end_line").alias("n_lines"))
 
 
+@query("SELECT path, string_agg(start_line || '-' || end_line, ' ' ORDER BY start_line, end_line, chunk_id) AS lines FROM chunks GROUP BY path")
+def chunks_of_path(spark, sf):
+    rows = index.chunks_of(adapters.chunks(spark, sf))
+    lines = F.sort_array(F.collect_list(F.struct("nth", F.concat_ws("-", "start_line", "end_line").alias("line"))))
+    return rows.groupBy("path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), " ").alias("lines"))
+
+
+@query("SELECT path, hash, size FROM files WHERE source = 'src3'")
+def files_of_source(spark, sf):
+    return index.of_source(adapters.files(spark, sf), "src3").select("path", "hash", "size")
+
+
 # --- tokens and keywords ----------------------------------------------------------------------------------------
 
 
@@ -129,13 +142,12 @@ def fts_query_build(spark, sf):
     return benchmark(spark, sf).select("item_id", text.match_expression(F.col("text")).alias("expression"))
 
 
-@query(f"SELECT item_id, array_to_string({oracle.keyword_list('text')}, ' ') AS keywords FROM benchmark")
+@query(
+    "SELECT doc_id, coalesce(string_agg(w, ' ' ORDER BY i), '') AS keywords FROM documents LEFT JOIN kw_first USING (doc_id) GROUP BY doc_id",
+    kw_words=f"SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, {oracle.WORD}) AS ws FROM documents)",
+    kw_first=f"SELECT doc_id, min(i) AS i, arg_min(w, i) AS w FROM kw_words WHERE {oracle.KEYWORD} AND NOT list_contains({oracle.STOP}, lower(w)) AND NOT list_contains({oracle.STOP}, w) GROUP BY doc_id, lower(w)",
+)
 def keyword_extract(spark, sf):
-    return benchmark(spark, sf).select("item_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
-
-
-@query()
-def keyword_extract_documents(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(text.keywords(F.col("text")), " ").alias("keywords"))
 
 
@@ -175,32 +187,42 @@ def _scores(found: DataFrame) -> DataFrame:
     return found.select("query_id", "chunk_id", _r("score"))
 
 
+def _keyword(spark, sf, queries: DataFrame, limit: int, **filters) -> DataFrame:
+    chunks, index_ = adapters.indexed(spark, sf)
+    return _scores(search.keyword_search(chunks, queries, limit, index=index_, **filters))
+
+
+def _whole_items(spark, sf) -> DataFrame:
+    return adapters.queries(spark, sf).select("query_id", F.col("item").alias("query"))
+
+
 @query(_TOP.format(found="bm25", k=50), asked=literals_sql("the"))
 def bm25_single(spark, sf):
-    return _scores(search.keyword_search(adapters.chunks(spark, sf), literals(spark, "the"), 50))
+    return _keyword(spark, sf, literals(spark, "the"), 50)
 
 
 @query(_TOP.format(found="bm25", k=10))
 def bm25_and(spark, sf):
-    return _scores(search.keyword_search(adapters.chunks(spark, sf), adapters.queries(spark, sf), 10))
+    return _keyword(spark, sf, adapters.queries(spark, sf), 10)
 
 
 @query(_TOP.format(found="bm25", k=50), asked=literals_sql("in_the", "de_la que", "der_und"))
 def bm25_phrase(spark, sf):
-    return _scores(search.keyword_search(adapters.chunks(spark, sf), literals(spark, "in_the", "de_la que", "der_und"), 50))
+    return _keyword(spark, sf, literals(spark, "in_the", "de_la que", "der_und"), 50)
 
 
 @query("SELECT query_id, chunk_id, round(score, 6) AS score FROM bm25 JOIN chunks USING (chunk_id) WHERE source = 'src3' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 25", asked=literals_sql("that", "of and"))
 def bm25_source_filter(spark, sf):
-    return _scores(search.keyword_search(adapters.chunks(spark, sf), literals(spark, "that", "of and"), 25, source="src3"))
+    return _keyword(spark, sf, literals(spark, "that", "of and"), 25, source="src3")
 
 
 _ANY = "(SELECT query_id, chunk_id, CASE WHEN rank < 0 THEN -rank / (1 - rank) ELSE 1 / (1 + rank) END AS score FROM weighed)"
 
 
-@query(_TOP.format(found=_ANY, k=10), phrases=f"SELECT query_id, no, p, len(p) AS length FROM (SELECT query_id, unnest(w) AS p, generate_subscripts(w, 1) AS no FROM (SELECT query_id, [{oracle.TOKENS.format('x')} FOR x IN {oracle.keyword_list('query')}] AS w FROM asked))")
+@query(_TOP.format(found=_ANY, k=10), phrases=f"SELECT query_id, no, p, len(p) AS length FROM (SELECT query_id, unnest(w) AS p, generate_subscripts(w, 1) AS no FROM (SELECT query_id, [{oracle.TOKENS.format('x')} FOR x IN {oracle.keyword_list('query')}] AS w FROM asked))", asked="SELECT query_id, item AS query FROM queries")
 def bm25_or_expanded(spark, sf):
-    return _scores(search.expanded_search(adapters.chunks(spark, sf), adapters.queries(spark, sf).select("query_id", "query"), 10))
+    chunks, index_ = adapters.indexed(spark, sf)
+    return _scores(search.expanded_search(chunks, _whole_items(spark, sf), 10, index=index_))
 
 
 # --- vectors ----------------------------------------------------------------------------------------------------
@@ -208,15 +230,24 @@ def bm25_or_expanded(spark, sf):
 _UNIT = "list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))))"
 
 
-@query("SELECT vec_id, round(sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 6) AS length, round(embedding[1]::DOUBLE / sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 6) AS first, round(embedding[64]::DOUBLE / sqrt(list_sum([x::DOUBLE * x::DOUBLE FOR x IN embedding])), 6) AS last FROM embeddings")
+def _numbers(rows: DataFrame, vector: Column) -> DataFrame:
+    """A row for each number of each vector, in order."""
+    return rows.select("vec_id", F.posexplode(vector).alias("pos", "x")).select("vec_id", "pos", _r("x", "value"))
+
+
+@query(f"SELECT vec_id, (generate_subscripts(u, 1) - 1)::INT AS pos, round(unnest(u), 6) AS value FROM (SELECT vec_id, {_UNIT} AS u FROM embeddings)")
 def l2_normalize(spark, sf):
-    u = scalar.unit(F.col("embedding"))
-    return embeddings(spark, sf).select("vec_id", _r(scalar.norm(F.col("embedding")), "length"), _r(u[0], "first"), _r(u[63], "last"))
+    return _numbers(embeddings(spark, sf), scalar.unit(F.col("embedding")))
+
+
+@query(f"SELECT vec_id, (generate_subscripts(u, 1) - 1)::INT AS pos, round(unnest(u), 6) AS value FROM (SELECT vec_id, list_transform({_UNIT}, lambda x: x::FLOAT::DOUBLE) AS u FROM embeddings)")
+def vector_float32(spark, sf):
+    return _numbers(embeddings(spark, sf), scalar.as_float32(scalar.unit(F.col("embedding"))).cast("array<double>"))
 
 
 @query("SELECT query_id, chunk_id, round(score, 6) AS score FROM cosines QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 10")
 def knn_cosine(spark, sf):
-    return _scores(search.vector_search(adapters.embedded_chunks(spark, sf), adapters.queries(spark, sf), 10))
+    return _scores(search.vector_search(adapters.indexed(spark, sf)[0], adapters.queries(spark, sf), 10))
 
 
 def _vectors(spark, sf) -> DataFrame:
@@ -239,12 +270,11 @@ def knn_batch(spark, sf):
     return _scores(search.vector_search(_vectors(spark, sf), asked, 5))
 
 
-@query("SELECT vec_id, round(m[1] / l, 6) AS first, round(m[64] / l, 6) AS last FROM (SELECT vec_id, m, sqrt(list_sum([x * x FOR x IN m])) AS l FROM (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE + z[2]::DOUBLE) / 2) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))")
+@query("SELECT vec_id, (generate_subscripts(m, 1) - 1)::INT AS pos, round(unnest([x / l FOR x IN m]), 6) AS value FROM (SELECT vec_id, m, sqrt(list_sum([x * x FOR x IN m])) AS l FROM (SELECT a.vec_id, list_transform(list_zip(a.embedding, b.embedding), lambda z: (z[1]::DOUBLE + z[2]::DOUBLE) / 2) AS m FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1))")
 def vector_mean(spark, sf):
     a = embeddings(spark, sf).select("vec_id", "embedding")
     b = a.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    m = scalar.mean_vector(F.col("embedding"), F.col("other"))
-    return a.join(b, "vec_id").select("vec_id", _r(m[0], "first"), _r(m[63], "last"))
+    return _numbers(a.join(b, "vec_id"), scalar.mean_vector(F.col("embedding"), F.col("other")))
 
 
 # --- hybrid and ranking -----------------------------------------------------------------------------------------
@@ -252,17 +282,19 @@ def vector_mean(spark, sf):
 
 def _candidates(spark, sf) -> DataFrame:
     """The 24 best of each query from pools of 96, as six wanted results make them."""
-    return search.hybrid_search(adapters.embedded_chunks(spark, sf), adapters.queries(spark, sf), 24)
+    chunks, index_ = adapters.indexed(spark, sf)
+    return search.hybrid_search(chunks, adapters.queries(spark, sf), 24, index=index_)
 
 
 def _asked(spark, sf) -> DataFrame:
-    return _candidates(spark, sf).join(adapters.queries(spark, sf).select("query_id", "query"), "query_id")
+    """Candidates with the whole items that the boosts read."""
+    return _candidates(spark, sf).join(_whole_items(spark, sf), "query_id")
 
 
 @query("SELECT query_id, chunk_id, round(score, 6) AS score, round(vector_score, 6) AS vector_score, round(text_score, 6) AS text_score FROM merged")
 def hybrid_merge(spark, sf):
-    chunks, asked = adapters.embedded_chunks(spark, sf), adapters.queries(spark, sf)
-    both = search.merge(search.vector_search(chunks, asked, 96), search.keyword_search(chunks, asked, 96))
+    (chunks, index_), asked = adapters.indexed(spark, sf), adapters.queries(spark, sf)
+    both = search.merge(search.vector_search(chunks, asked, 96), search.keyword_search(chunks, asked, 96, index=index_))
     return both.select("query_id", "chunk_id", *(_r(c) for c in ("score", "vector_score", "text_score")))
 
 
@@ -282,9 +314,9 @@ def hybrid_topk(spark, sf):
 
 @query("SELECT query_id, count(*) FILTER (v.chunk_id IS NOT NULL) AS n_vector, count(*) FILTER (k.chunk_id IS NOT NULL) AS n_keyword, count(*) AS n FROM (SELECT query_id, chunk_id FROM vec96) v FULL JOIN (SELECT query_id, chunk_id FROM key96) k USING (query_id, chunk_id) GROUP BY query_id".replace("(v.chunk_id", "(WHERE v.chunk_id").replace("(k.chunk_id", "(WHERE k.chunk_id"))
 def candidate_pool(spark, sf):
-    chunks, asked = adapters.embedded_chunks(spark, sf), adapters.queries(spark, sf)
+    (chunks, index_), asked = adapters.indexed(spark, sf), adapters.queries(spark, sf)
     v = search.vector_search(chunks, asked, 96).select("query_id", "chunk_id", F.lit(1).alias("v"))
-    k = search.keyword_search(chunks, asked, 96).select("query_id", "chunk_id", F.lit(1).alias("k"))
+    k = search.keyword_search(chunks, asked, 96, index=index_).select("query_id", "chunk_id", F.lit(1).alias("k"))
     return v.join(k, ["query_id", "chunk_id"], "full_outer").groupBy("query_id").agg(F.count("v").alias("n_vector"), F.count("k").alias("n_keyword"), F.count("*").alias("n"))
 
 
@@ -343,9 +375,14 @@ def mmr_rerank(spark, sf):
     return ranking.diversify(_candidates(spark, sf), 0.7).select("query_id", "chunk_id", _r("score"), "rank")
 
 
-@query()
+_SWEEP = _MMR | {
+    "mmr_walk": "SELECT query_id, n, rels, sims, lam, 1 AS step, [1::BIGINT] AS chosen FROM mmr_grid JOIN mmr_cells USING (query_id) CROSS JOIN (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) l(lam) UNION ALL SELECT query_id, n, rels, sims, lam, step + 1, list_append(chosen, (list_sort([{'v': -(lam * rels[i] - (1 - lam) * list_max([sims[(i - 1) * n + j] FOR j IN chosen])), 'i': i} FOR i IN range(1, n + 1) IF NOT list_contains(chosen, i)])[1]).i) FROM mmr_walk WHERE step < n",
+}
+
+
+@query("SELECT lam, w.query_id, r.chunk_id, list_position(chosen, r.i)::INT AS rank FROM mmr_walk w JOIN mmr_rows r USING (query_id) WHERE step = n UNION ALL SELECT 1.0::DOUBLE, query_id, chunk_id, i::INT FROM mmr_rows", **_SWEEP)
 def mmr_lambda_sweep(spark, sf):
-    found = _candidates(spark, sf).persist()
+    found = kept(_candidates(spark, sf), "candidates")
     parts = [ranking.diversify(found, lam).select(F.lit(lam).alias("lam"), "query_id", "chunk_id", "rank") for lam in (0.0, 0.5, 1.0)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -353,7 +390,7 @@ def mmr_lambda_sweep(spark, sf):
 # --- boosts -----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT doc_id, coalesce(array_to_string(e, '|'), '') AS entities FROM documents LEFT JOIN doc_entities ON id = doc_id")
 def entity_extract(spark, sf):
     return documents(spark, sf).select("doc_id", F.array_join(text.entities(F.col("text")), "|").alias("entities"))
 
@@ -368,28 +405,21 @@ def idf_boost(spark, sf):
     return _ranks(ranking.rarity_boost(_asked(spark, sf), 0.6))
 
 
-@query()
+@query(_RANKED.format("rarity"), vocab=oracle.PAIRS)
 def idf_bigrams(spark, sf):
     return _ranks(ranking.rarity_boost(_asked(spark, sf), 0.6, pairs=True))
 
 
-_PHRASES = ("two weeks ago we met", "a couple of days ago", "what did I do yesterday", "a few months ago", "Last Month in Paris", "last year", "recently", "10 days ago", "nothing at all", "one week ago", "twelve days ago")
+_PHRASES = (
+    *("two weeks ago we met", "a couple of days ago", "what did I do yesterday", "Last Month in Paris", "last year", "recently", "10 days ago", "nothing at all", "A  WEEK\tago", "a month ago", "a year  ago", "last\tweek", "someone 3 weeks  ago, or yesterday"),
+    *(f"{n} {unit} ago" for n in ("one", "Two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "a few", "few", "a couple", "couple of", "a couple of", "couple", "0", "120") for unit in ("day", "days", "week", "weeks", "month", "months")),
+)
 
 
-@query(
-    "SELECT query_id, (CASE "
-    + " ".join(
-        rf"WHEN regexp_matches(q, '{p}', 'i') THEN {v}"
-        for p, v in (
-            (r"\d+ +days? +ago", r"regexp_extract(q, '(\d+) +days? +ago', 1, 'i')::BIGINT"), ("yesterday", "1"), (r"\d+ +weeks? +ago", r"regexp_extract(q, '(\d+) +weeks? +ago', 1, 'i')::BIGINT * 7"), (r"a week ago", "7"), (r"last week", "7"),
-            (r"\d+ +months? +ago", r"regexp_extract(q, '(\d+) +months? +ago', 1, 'i')::BIGINT * 30"), (r"a month ago", "30"), (r"last month", "30"), (r"a year ago", "365"), (r"last year", "365"), ("recently", "14"),
-        )
-    )
-    + f" ELSE -1 END)::BIGINT AS days FROM (SELECT query_id, {oracle.digits('query')} AS q FROM asked)",
-    asked=literals_sql(*_PHRASES),
-)
+@query(f"SELECT query_id, coalesce({oracle.offset('q', 1)}, -1)::BIGINT AS days, coalesce({oracle.offset('q', 2)}, -1)::INT AS tolerance FROM (SELECT query_id, {oracle.digits('query')} AS q FROM asked)", asked=literals_sql(*_PHRASES))
 def time_offset_parse(spark, sf):
-    return literals(spark, *_PHRASES).select("query_id", F.coalesce(text.time_offset(F.col("query"))["days"], F.lit(-1)).cast("long").alias("days"))
+    found = literals(spark, *_PHRASES).select("query_id", text.time_offset(F.col("query")).alias("o"))
+    return found.select("query_id", F.coalesce("o.days", F.lit(-1).cast("long")).alias("days"), F.coalesce("o.tolerance", F.lit(-1)).alias("tolerance"))
 
 
 def _sessions(spark, sf) -> DataFrame:
@@ -409,10 +439,10 @@ def temporal_boost(spark, sf):
     return _ranks(ranking.date_boost(_sessions(spark, sf), 0.4))
 
 
-@query()
+@query("SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM chained3 QUALIFY rank <= 6", grid="SELECT 0.3 AS ec, 0.6 AS idf, 0.2 AS date", **oracle.CHAIN)
 def rerank_chain(spark, sf):
-    found = ranking.entity_boost(_asked(spark, sf).withColumn("question_date", F.lit("2024-02-20")), 0.3)
-    return _ranks(ranking.date_boost(ranking.rarity_boost(found, 0.6), 0.2), 6)
+    found = ranking.boost_features(_asked(spark, sf).withColumn("question_date", F.lit("2024-02-20")))
+    return _ranks(ranking.boosted(found, {"ec_alpha": 0.3, "idf_alpha": 0.6, "date_alpha": 0.2}), 6)
 
 
 # --- index maintenance ------------------------------------------------------------------------------------------
@@ -491,8 +521,18 @@ _ANSWERS = r"SELECT b.item_id::VARCHAR AS query_id, regexp_replace(string_split(
 
 
 def _answers(spark, sf) -> DataFrame:
-    items = benchmark(spark, sf).select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("item"))
-    return adapters.files(spark, sf, "text").join(items, F.contains("text", "item")).select("query_id", scalar.file_stem(F.col("path")).alias("session_id"))
+    """Documents that hold an item: looked up by the item's longest inner word, then compared whole.
+
+    A word inside an item is a word of the text too; items without one are compared with every text.
+    """
+    items = benchmark(spark, sf).select(F.col("item_id").cast("string").alias("query_id"), F.col("text").alias("item"), text.index_tokens(F.col("text")).alias("t"))
+    inner = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
+    items = items.select("query_id", "item", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"].alias("word"))
+    texts = adapters.files(spark, sf, "text").select(scalar.file_stem(F.col("path")).alias("session_id"), "text")
+    words = texts.select("session_id", "text", F.explode(F.array_distinct(text.index_tokens(F.col("text")))).alias("word"))
+    keyed = words.join(F.broadcast(items.filter("word IS NOT NULL")), "word").filter(F.contains("text", "item"))
+    rest = texts.join(items.filter("word IS NULL"), F.contains("text", "item"))
+    return keyed.select("query_id", "session_id").unionByName(rest.select("query_id", "session_id"))
 
 
 _SESSIONS = {
@@ -549,13 +589,23 @@ def seed_stats(spark, sf):
     return evaluate.over_seeds(by, ["value"]).select("question_type", "metric", *(_r(c) for c in ("mean", "std", "min", "max")))
 
 
-@query()
+_GRID = _SESSIONS | oracle.CHAIN | {
+    "grid": "SELECT ec::DOUBLE AS ec, idf::DOUBLE AS idf, date::DOUBLE AS date FROM (VALUES (0.2), (0.3), (0.4)) a(ec), (VALUES (0.4), (0.5), (0.6)) b(idf), (VALUES (0.1), (0.2), (0.3)) c(date)",
+    "grid_ranked": r"SELECT query_id, ec, idf_a, date_a, regexp_replace(string_split(path, '/')[-1], '\.[^.]+$', '') AS session, row_number() OVER (PARTITION BY query_id, ec, idf_a, date_a ORDER BY score DESC, chunk_id) AS rank FROM chained3",
+    "grid_sessions": "SELECT *, row_number() OVER (PARTITION BY query_id, ec, idf_a, date_a ORDER BY best_at, session) AS nth FROM (SELECT query_id, ec, idf_a, date_a, session, min(rank) AS best_at FROM grid_ranked GROUP BY ALL)",
+    "grid_judged": "SELECT s.*, (a.session IS NOT NULL)::INT AS hit FROM grid_sessions s LEFT JOIN (SELECT DISTINCT query_id, session FROM answers) a USING (query_id, session)",
+    "grid_measured": "SELECT query_id, ec, idf_a, date_a, max(CASE WHEN nth <= 5 THEN hit ELSE 0 END)::DOUBLE AS recall_5, round(CASE WHEN sum(CASE WHEN nth <= 5 THEN hit ELSE 0 END) = 0 THEN 0.0 ELSE list_sum(list(CASE WHEN nth <= 5 THEN hit / log2(nth + 1) ELSE 0 END ORDER BY nth)) / list_sum([1 / log2(i + 1) FOR i IN range(1, 1 + sum(CASE WHEN nth <= 5 THEN hit ELSE 0 END)::BIGINT)]) END, 4) AS ndcg_5 FROM grid_judged GROUP BY query_id, ec, idf_a, date_a",
+}
+
+
+@query("SELECT ec AS ec_alpha, idf_a AS idf_alpha, date_a AS date_alpha, sum(round(recall_5 * 10000)::BIGINT)::DOUBLE / count(*) / 10000 AS recall_5, sum(round(ndcg_5 * 10000)::BIGINT)::DOUBLE / count(*) / 10000 AS ndcg_5 FROM grid_measured GROUP BY ec, idf_a, date_a ORDER BY recall_5 DESC, ndcg_5 DESC, ec, idf_a, date_a LIMIT 1", **_GRID)
 def alpha_grid(spark, sf):
-    rows = _asked(spark, sf).withColumn("question_date", F.lit("2024-02-20")).crossJoin(F.broadcast(evaluate.alpha_grid(spark)))
-    keys = ["query_id", *evaluate.ALPHAS]
-    each = rows.withColumn("real_id", F.col("query_id")).withColumn("query_id", F.concat_ws("|", *keys))
-    boosted = ranking.date_boost(ranking.rarity_boost(ranking.entity_boost(each, F.col("ec_alpha")), F.col("idf_alpha")), F.col("date_alpha"))
-    sessions = evaluate.session_ranking(ranking.ranked(boosted).withColumn("query_id", F.col("real_id")))
+    """The best of 27 settings: what boosts weigh is found once a candidate, and all settings are scored in one pass."""
+    features = kept(ranking.boost_features(_asked(spark, sf).withColumn("question_date", F.lit("2024-02-20"))).drop("text", "query"), "features")
+    rows = features.crossJoin(F.broadcast(evaluate.alpha_grid(spark)))
+    each = rows.withColumn("real_id", F.col("query_id")).withColumn("query_id", F.concat_ws("|", "query_id", *evaluate.ALPHAS))
+    scored = ranking.boosted(each, {a: F.col(a) for a in evaluate.ALPHAS})
+    sessions = evaluate.session_ranking(ranking.ranked(scored).withColumn("query_id", F.col("real_id")))
     return evaluate.best_setting(evaluate.per_query(sessions, _answers(spark, sf)))
 
 
@@ -575,13 +625,21 @@ def dedupe_by_path(spark, sf):
     return ranking.one_per_path(_candidates(spark, sf)).select("query_id", "path", "chunk_id", _r("score"))
 
 
-@query("SELECT query_id, chunk_id, round(len(string_split(lower(text), lower(string_split(query, ' ')[1]))) - 1, 6)::DOUBLE AS score FROM chunks CROSS JOIN queries WHERE contains(lower(text), lower(string_split(query, ' ')[1])) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY len(string_split(lower(text), lower(string_split(query, ' ')[1]))) DESC, chunk_id) <= 5")
+@query("SELECT query_id, rank, path, start_line, end_line, round(score, 6)::DOUBLE AS score FROM (SELECT query_id, chunk_id, path, start_line, end_line, len(string_split(lower(text), lower(string_split(query, ' ')[1]))) - 1 AS score, row_number() OVER (PARTITION BY query_id ORDER BY len(string_split(lower(text), lower(string_split(query, ' ')[1]))) DESC, chunk_id)::INT AS rank FROM chunks CROSS JOIN queries WHERE contains(lower(text), lower(string_split(query, ' ')[1]))) WHERE rank <= 5")
 def custom_strategy(spark, sf):
-    """A strategy of one's own: chunks by how often they hold the query's first word as a string."""
-    word = F.lower(F.split("query", " ")[0])
-    rows = adapters.chunks(spark, sf).join(adapters.queries(spark, sf).select("query_id", "query"), F.contains(F.lower("text"), word))
-    count = (F.length(F.lower("text")) - F.length(F.replace(F.lower("text"), word, F.lit("")))) / F.length(word)
-    return _scores(search.top(rows.withColumn("score", count.cast("double")), 5))
+    """A strategy of one's own, registered with an engine: chunks by how often they hold the query's first word as a string."""
+
+    def by_first_word(context):
+        word = F.lower(F.split("query", " ")[0])
+        rows = context.chunks.join(F.broadcast(context.queries), F.contains(F.lower("text"), word))
+        count = (F.length(F.lower("text")) - F.length(F.replace(F.lower("text"), word, F.lit("")))) / F.length(word)
+        none = F.lit(None).cast("double")
+        return search.top(rows.withColumn("score", count.cast("double")), context.limit).select("query_id", "chunk_id", *search.PARTS, "score", none.alias("vector_score"), none.alias("text_score"))
+
+    engine = Engine(spark, corpus=adapters.indexed(spark, sf))
+    engine.register_strategy("first_word", by_first_word)
+    found = engine.search_many(adapters.queries(spark, sf).select("query_id", "query"), strategy="first_word", max_results=5, min_score=0.0)
+    return found.select("query_id", "rank", "path", "start_line", "end_line", _r("score"))
 
 
 @query("SELECT source, count(*) AS n_files, sum(size)::BIGINT AS n_bytes, max(path) AS last_path FROM files GROUP BY source HAVING count(*) > 1")
@@ -602,13 +660,14 @@ def stream_debounce(spark, sf):
 
 @query()
 def stream_file_changes(spark, sf):
-    """events as a stream, debounced by a stateful operator, all of it run at once into a table."""
+    """events as a stream, debounced by a stateful operator, all of it run at once into a Parquet table."""
     import os
 
     source = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).option("pathGlobFilter", "*.parquet")
     whole = f"{sf}/events.parquet"
     rows = source.parquet(whole if os.path.isdir(whole) else f"{sf}/[e]vents.parquet")
     rows = rows.select(F.concat(F.lit("memory/u"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
-    name = "grove_changes"
-    debounce(rows, 3 * 3600 * 1000).writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    out, changes = shared_path(spark, "changes"), debounce(rows, 3 * 3600 * 1000)
+    writer = changes.writeStream.outputMode("append").format("parquet").option("checkpointLocation", shared_path(spark, "changes-state"))
+    writer.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema(changes.schema).parquet(out)

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from notegrove.config import ChunkingConfig
 from notegrove.functions import scalar
+from notegrove.operators import search
 from notegrove.operators.chunking import chunk_texts
+from notegrove.sources.shared import kept, stamp
 
 MODEL = "table-64"
 #: Day from which ages count in the registered queries.
@@ -24,7 +26,7 @@ def files(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
     folder = F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.concat(F.col("source"), F.lit("/")))
     name = F.when(F.col("doc_id") % 3 == 0, F.date_format(day, "yyyy-MM-dd")).otherwise(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")))
     path = F.concat(F.lit("memory/"), folder, name, F.lit(".md"))
-    return table(spark, sf, "documents").select("doc_id", path.alias("path"), scalar.source_label(path).alias("source"), scalar.sha256(F.col("text")).alias("hash"), F.unix_seconds(day.cast("timestamp")).cast("double").alias("mtime"), F.octet_length("text").cast("long").alias("size"), *columns)
+    return table(spark, sf, "documents").select("doc_id", path.alias("path"), scalar.source_label(path).alias("source"), scalar.sha256(F.col("text")).alias("hash"), (F.datediff(day, F.lit("1970-01-01").cast("date")) * 86400.0).alias("mtime"), F.octet_length("text").cast("long").alias("size"), *columns)
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -47,12 +49,34 @@ def embedded_chunks(spark: SparkSession, sf: str, config: ChunkingConfig | None
     return chunks(spark, sf, config).join(F.broadcast(n)).withColumn("vec_id", (F.col("doc_id") + F.col("chunk_no")) % F.col("n_vec")).join(vectors.select("vec_id", "embedding"), "vec_id").drop("n_vec")
 
 
+_indexes: dict[tuple, tuple[DataFrame, search.KeywordIndex]] = {}
+
+
+def indexed(spark: SparkSession, sf: str) -> tuple[DataFrame, search.KeywordIndex]:
+    """embedded_chunks and their keyword index, written to the shared folder by the first query that needs them.
+
+    Later queries of the session over the same files read them from there, as searches read a snapshot.
+    """
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf}/documents.parquet"), stamp(spark, f"{sf}/embeddings.parquet"))
+    if key not in _indexes:
+        from notegrove.plans.index import stored_index
+
+        rows = kept(embedded_chunks(spark, sf), "chunks")
+        _indexes[key] = rows, stored_index(rows, kept(search.postings(rows).sortWithinPartitions("term", "chunk_id"), "postings"))
+    return _indexes[key]
+
+
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, query, vec): the two longest words of every benchmark item (of equally long ones the first in the alphabet), and the vector of its number."""
+    """(query_id, query, item, vec): each benchmark item as a query.
+
+    query: its two longest words (of equally long ones the first in the alphabet), for searches that want every word;
+    item: the whole text; vec: the vector whose id is item_id modulo the number of vectors.
+    """
     words = F.transform(F.array_distinct(F.split("text", r"\s+")), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-    asked = table(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(F.slice(F.array_sort(words), 1, 2), lambda s: s["w"]), " ").alias("query"))
-    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vec"))
-    return asked.join(vectors, "item_id").select(F.col("item_id").cast("string").alias("query_id"), "query", "vec")
+    asked = table(spark, sf, "benchmark").select("item_id", "text", F.array_join(F.transform(F.slice(F.array_sort(words), 1, 2), lambda s: s["w"]), " ").alias("query"))
+    vectors = table(spark, sf, "embeddings")
+    asked = asked.join(F.broadcast(vectors.agg(F.count("*").alias("n_vec")))).withColumn("vec_id", F.col("item_id") % F.col("n_vec"))
+    return asked.join(vectors.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select(F.col("item_id").cast("string").alias("query_id"), "query", F.col("text").alias("item"), "vec")
 
 
 def sessions(spark: SparkSession, sf: str) -> DataFrame:

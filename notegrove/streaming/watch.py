@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import logging
 import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from notegrove.sources.files import OWN_FOLDER
+from notegrove.sources.shared import shared_path
 
 log = logging.getLogger("notegrove")
 FILE_EVENTS = "path string, ts timestamp"
@@ -25,11 +25,12 @@ def file_stream(spark: SparkSession, workspace: str) -> DataFrame:
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("ts")).filter(~F.contains("path", F.lit(f"/{OWN_FOLDER}/")))
 
 
-def watch_workspace(spark: SparkSession, workspace: str, sync: Callable[[], object], debounce_ms: int = 1500, once: bool = False) -> StreamingQuery:
+def watch_workspace(spark: SparkSession, workspace: str, sync: Callable[[], object], debounce_ms: int = 1500, once: bool = False, checkpoint: str | None = None) -> StreamingQuery:
     """Calls sync for every batch of changes; what it raises is logged and the watch goes on.
 
     The stream only says when to look: edits in place and deletions leave no new file, and sync compares the whole
-    listing with what is stored. Batches come `debounce_ms` apart, so changes in between are one.
+    listing with what is stored. checkpoint: a folder in which the stream keeps what it has seen over restarts; a fresh one
+    in the shared folder if None. Batches come `debounce_ms` apart, so changes in between are one.
     """
 
     def batch(rows: DataFrame, _: int) -> None:
@@ -39,7 +40,7 @@ def watch_workspace(spark: SparkSession, workspace: str, sync: Callable[[], obje
         except Exception:
             log.exception("a change could not be indexed")
 
-    writer = file_stream(spark, workspace).writeStream.foreachBatch(batch).option("checkpointLocation", tempfile.mkdtemp(prefix="notegrove-watch-"))
+    writer = file_stream(spark, workspace).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint or shared_path(spark, "watch"))
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{max(debounce_ms, 1)} milliseconds")).start()
 
 

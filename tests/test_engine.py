@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegrove import cli
-from notegrove.config import ConfigError, EngineConfig, FlushError, HybridConfig, IndexError_, QueryConfig, StrategyError, SyncConfig, VectorsUnavailable, ChunkingConfig
+from notegrove.config import ConfigError, EngineConfig, FlushError, HybridConfig, IndexError_, QueryConfig, StorageError, StrategyError, SyncConfig, VectorsUnavailable, ChunkingConfig
 from notegrove.operators import evaluate, ranking, search
 from notegrove.plans import embedders, index
 from notegrove.plans.embedders import CodePointEmbedder, HashEmbedder
@@ -131,13 +131,50 @@ def test_cache_eviction_and_upsert(spark):
 
 def test_snapshots_survive_a_failed_write(spark, tmp_path):
     shots = index.Snapshots(spark, str(tmp_path))
-    os.makedirs(tmp_path, exist_ok=True)
+    assert shots.current is None and shots.read("files").count() == 0
     shots.commit({"meta": spark.createDataFrame([("a", "1")], index.META)})
     with pytest.raises(Exception):
-        shots.commit({"meta": spark.createDataFrame([("a", "2")], index.META).select(F.raise_error("no").alias("key"), "value")})
+        shots.commit({}, {"meta": spark.createDataFrame([("a", "2")], index.META).select(F.raise_error("no").alias("key"), "value")})
     assert shots.current == 1 and [tuple(r) for r in shots.read("meta").collect()] == [("a", "1")]
     shots.commit({})
     assert shots.current == 2 and shots.read("meta").count() == 1
+    (tmp_path / "_log" / "0000000003.json").write_text("{")
+    with pytest.raises(StorageError):
+        shots.read("meta")
+
+
+def test_snapshots_add_segments_and_drop_paths(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "MOST_SEGMENTS", 4)
+    shots = index.Snapshots(spark, f"file://{tmp_path}/deep/er")
+    rows = lambda *paths: {"files": spark.createDataFrame([(p, "s", h, 0.0, 1) for p, h in paths], index.FILES)}
+    gone = lambda *paths: spark.createDataFrame([(p,) for p in paths], index.GONE)
+    state = lambda: {r.path: r.hash for r in shots.read("files").collect()}
+    shots.commit(rows(("a", "1"), ("b", "1")))
+    written = {p: p.stat().st_mtime_ns for p in (tmp_path / "deep" / "er" / "files").rglob("*.parquet")}
+    shots.commit(rows(("a", "2"), ("c", "1")), gone=gone("a"))
+    assert state() == {"a": "2", "b": "1", "c": "1"} and all(p.stat().st_mtime_ns == t for p, t in written.items())
+    shots.commit({}, gone=gone("b", "none"))
+    shots.commit(rows(("b", "3")))
+    assert state() == {"a": "2", "b": "3", "c": "1"}
+    shots.commit(rows(("d", "1")), gone=gone("c"))
+    assert len(shots.segments()["files"]) == 4
+    shots.commit(rows(("a", "4")), gone=gone("a"))  # all is written whole again
+    assert shots.segments()["files"] == [6] and not shots.segments()["gone"] and state() == {"a": "4", "b": "3", "d": "1"}
+    shots.commit({})
+    assert {p.name for p in (tmp_path / "deep" / "er" / "files").iterdir()} == {"v=6"}
+
+
+def test_stored_postings_equal_those_made_anew(spark, ws):
+    engine = Engine(spark, EngineConfig(workspace_dir=str(ws)))
+    engine.index()
+    write(ws, cats="Dogs bark at cats, cats sleep.")
+    engine.index()
+    chunks = engine.table("chunks")
+    stored, fresh = index.stored_index(chunks, engine.table("postings")), search.KeywordIndex.of(chunks)
+    assert sorted(map(tuple, stored.postings.select("term", "chunk_id", "dl", "pos").collect())) == sorted(map(tuple, fresh.postings.collect()))
+    assert stored.stats.first().asDict() == fresh.stats.first().asDict()
+    assert [r.nth for r in engine.chunks("memory/cats.md").collect()] == [1] and engine.chunks("none").count() == 0
+    assert [r.path for r in engine.files("sessions").collect()] == ["memory/sessions/talk.md"] and engine.files("it's \\ odd").count() == 0
 
 
 def test_embedders(spark):

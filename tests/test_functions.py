@@ -119,4 +119,4 @@ def test_keywords_of_documents_equal_brute_force(spark, tmp_path):
                 first.setdefault(word.lower(), word)
         return " ".join(first.values())
 
-    assert {r.doc_id: r.keywords for r in QUERIES["keyword_extract_documents"](spark, str(tmp_path)).collect()} == {k: brute(t) for k, t in texts.items()}
+    assert {r.doc_id: r.keywords for r in QUERIES["keyword_extract"](spark, str(tmp_path)).collect()} == {k: brute(t) for k, t in texts.items()}

@@ -36,7 +36,7 @@ def test_bm25_equals_sqlite(spark, chunks):
         for k, q in enumerate(queries):
             match = " AND ".join(f'"{w}"' for w in q.split())
             want |= {(str(k), i): r for i, r in db.execute("SELECT id, bm25(t) FROM t WHERE t MATCH ?", (match,))}
-    got = {(r.query_id, r.chunk_id): r.rank for r in search.bm25(chunks, ask(spark, *queries)).collect()}
+    got = {(r.query_id, r.chunk_id): r.rank for r in search.bm25(search.KeywordIndex.of(chunks), ask(spark, *queries)).collect()}
     assert got.keys() == want.keys() and len(got) > 50
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
 
@@ -59,7 +59,7 @@ def vectors(spark):
     return spark.createDataFrame([(n, f"{n}.md", "s" if n == "near" else "memory", "m", 1, 1, n, v) for n, v in rows], "chunk_id string, path string, source string, model string, start_line int, end_line int, text string, embedding array<double>")
 
 
-@pytest.mark.parametrize("sent", [search.SENT_VALUES, 0])
+@pytest.mark.parametrize("sent", [search.SENT_VALUES, 3])
 def test_vector_search(spark, vectors, sent, monkeypatch):
     monkeypatch.setattr(search, "SENT_VALUES", sent)
     asked = spark.createDataFrame([("q", "x", [2.0, 0.0, 0.0, 0.0]), ("z", "x", [0.0] * 4)], "query_id string, query string, vec array<double>")
