@@ -2,7 +2,7 @@
 
 A document is contaminated by a benchmark item when one of its windows, as many words long as the item, has a SimHash
 within `radius` bits of the item's and a weighted-shingle similarity of at least `least`. A shingle is two words,
-its weight is their length, and the similarity is the weighted Jaccard of the two multisets.
+its weight is their length in bytes (a word of more than 31 counts 31, so that no single string decides), and the similarity is the weighted Jaccard of the two multisets.
 
 1. Screening. Overlap with an item is at most the weight of the window's shingles that some item of that length
    holds, and the union is at least what follows from the window's and the lightest item's weights: windows in which
@@ -25,22 +25,18 @@ from pyspark.sql import functions as F
 from notegrove.llm._shared import bits_of, hash_texts, mix, pack_bits, shingle_hashes, without, written
 
 RADIUS, LEAST = 15, 0.6
-#: Items of fewer words say too little to tell a leak from chance and are left out.
+#: Items of fewer words say too little to tell a near leak from chance: they count only word by word.
 MIN_WORDS = 8
 #: log2 of the bits of the screening map: at least, at most (32 MB); slots for each entry, about.
 MAP_BITS, SLOTS_PER_ENTRY = (20, 28), 64
 FAR = 1 << 40
 
 
-def window_size(words: int) -> int:
-    """The window length for items of so many words: theirs up to 32 words, else rounded within about 3 %."""
-    step = 1 << max(0, words.bit_length() - 6)
-    return (words + step // 2) // step * step
-
-
 def weigh(words: np.ndarray) -> np.ndarray:
-    """Hash of each shingle; its low six bits are the shingle's weight."""
+    """Hash of each shingle; its low six bits are the shingle's weight. A single word is its own shingle."""
     length = words & np.uint64(31)
+    if len(words) == 1:
+        return words & ~np.uint64(63) | length
     return shingle_hashes(words, 2) & ~np.uint64(63) | length[:-1] + length[1:]
 
 
@@ -67,8 +63,8 @@ def _salt(size: int, bits: int) -> int:
     return int(mix(np.array([size], np.uint64), 77)[0]) & ((1 << bits) - 1)
 
 
-def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
-    """(item_id, size, weight, fp, shingles) of the items that are long enough."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, size, weight, fp, shingles) of the items that have words; size is their number."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -76,10 +72,10 @@ def _items(benchmark: DataFrame, min_words: int) -> DataFrame:
             rows = []
             for k, item in enumerate(frame["item_id"]):
                 words = flat[offsets[k] : offsets[k + 1]]
-                if len(words) >= min_words:
+                if len(words):
                     shingles = weigh(words)
                     fp = fingerprints(shingles, np.array([0]), np.array([len(shingles)]))[0]
-                    rows.append((item, window_size(len(words)), weights_of(shingles).sum(), fp, shingles.view(np.int64)))
+                    rows.append((item, len(words), weights_of(shingles).sum(), fp, shingles.view(np.int64)))
             yield pd.DataFrame(rows, columns=["item_id", "size", "weight", "fp", "shingles"])
 
     rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
@@ -135,8 +131,8 @@ def _enough(hit: np.ndarray, whole: np.ndarray, lightest: int, least: float) ->
     return hit >= np.maximum(least * whole, least / (1 + least) * (whole + lightest)) - 1e-6
 
 
-def screened(flat: np.ndarray, offsets: np.ndarray, screen: np.ndarray, sizes: dict[int, int], least: float) -> list[tuple[int, int, int]]:
-    """(text, first shingle, number of shingles) of the windows of all sizes that could be similar enough."""
+def screened(flat: np.ndarray, offsets: np.ndarray, screen: np.ndarray, sizes: dict[int, int], least: float, min_words: int) -> list[tuple[int, int, int]]:
+    """(text, first shingle, number of shingles) of the windows of all sizes, two words at least, that could be similar enough."""
     if len(flat) < 2 or not sizes:
         return []
     shingles = weigh(flat)
@@ -158,12 +154,12 @@ def screened(flat: np.ndarray, offsets: np.ndarray, screen: np.ndarray, sizes: d
         if len(texts) == 0:
             return []
         some = np.concatenate([flat[offsets[t] : offsets[t + 1]] for t in texts])
-        return [(int(texts[t]), s, k) for t, s, k in screened(some, np.concatenate([[0], np.cumsum(np.diff(offsets)[texts])]), screen, sizes, least)]
+        return [(int(texts[t]), s, k) for t, s, k in screened(some, np.concatenate([[0], np.cumsum(np.diff(offsets)[texts])]), screen, sizes, least, min_words)]
     at = np.flatnonzero(any_hit)
     total = np.concatenate([[0], np.cumsum(weights)])
     found = []
     for size, lightest in sizes.items():
-        k = size - 1
+        k, need = size - 1, 1.0 if size < min_words else least
         own = at[screen[slot[at] ^ _salt(size, bits)]]
         if len(own) == 0:
             continue
@@ -171,12 +167,12 @@ def screened(flat: np.ndarray, offsets: np.ndarray, screen: np.ndarray, sizes: d
         hit[own + 1] = weights[own]
         hit = np.cumsum(hit)
         if len(weights) >= k:
-            start = np.flatnonzero(_enough(hit[k:] - hit[:-k], total[k:] - total[:-k], lightest, least))
+            start = np.flatnonzero(_enough(hit[k:] - hit[:-k], total[k:] - total[:-k], lightest, need))
             found += [(int(t), int(s - offsets[t]), k) for t, s in zip(np.searchsorted(offsets, start, "right") - 1, start, strict=True)]
         short = np.flatnonzero((counts > 0) & (counts < k))
         if len(short):
             a, b = offsets[short], offsets[short] + counts[short]
-            found += [(int(t), 0, int(counts[t])) for t in short[_enough(hit[b] - hit[a], total[b] - total[a], lightest, least)]]
+            found += [(int(t), 0, int(counts[t])) for t in short[_enough(hit[b] - hit[a], total[b] - total[a], lightest, need)]]
     return list(dict.fromkeys(found))
 
 
@@ -193,12 +189,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
     """(doc_id, item_id, similarity, hamming, first_word, n_words): the most similar window of each document and item that pass.
 
     Ties go to the smaller distance, then the earlier and the shorter window. A document shorter than an item's
-    window is one window. Items that are null, have a null id or fewer than min_words words are left out; items that
-    share an id count as one. Null and empty texts have no windows; rows that share a doc_id count as one document,
+    window is one window. An item of fewer than min_words words is found only where its words stand in a row as they
+    are, and an item of one word only as a whole text. Items that are null or wordless or have a null id are left out;
+    items that share an id count as one. Null and empty texts have no windows; rows that share a doc_id count as one document,
     rows with a null doc_id too. Other columns are not read. Empty tables give an empty result.
     """
-    items = written(_items(benchmark, min_words), "items")
+    items = written(_items(benchmark), "items")
     screen, sizes = _screen(items)
+    single = sizes.pop(1, None) is not None
     packed, bits = np.packbits(screen), len(screen)
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # bounded by MAP_BITS
 
@@ -209,13 +207,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
                 part = frame.iloc[begin : begin + 500]
                 flat, offsets = hash_texts(part["text"])
                 ids, by_text = part["doc_id"].tolist(), {}
-                for text, start, k in screened(flat, offsets, seen, sizes, least):
+                for text, start, k in screened(flat, offsets, seen, sizes, least, min_words):
                     by_text.setdefault(text, []).append((start, start + k))
+                for text in np.flatnonzero(np.diff(offsets) == 1).tolist() if single else ():
+                    by_text.setdefault(text, []).append((0, 1))
                 for text, spans in by_text.items():
                     shingles, spans = weigh(flat[offsets[text] : offsets[text + 1]]), np.array(spans)
                     fps = fingerprints(shingles, spans[:, 0], spans[:, 1])
                     for at in range(0, len(spans), 2000):
-                        rows = [(ids[text], a, b - a + 1, fp, shingles[a:b].view(np.int64)) for (a, b), fp in zip(spans[at : at + 2000], fps[at : at + 2000], strict=True)]
+                        rows = [(ids[text], a, min(b - a + 1, int(offsets[text + 1] - offsets[text])), fp, shingles[a:b].view(np.int64)) for (a, b), fp in zip(spans[at : at + 2000], fps[at : at + 2000], strict=True)]
                         yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "first_word", "n_words", "fp", "shingles"]
@@ -235,7 +235,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, least: fl
 
     # the index is many times as large as its source, which the planner cannot know: no broadcast unless measured
     pairs = probes.join(index.hint("merge"), ["block", "value"]).withColumn("hamming", F.bit_count(apart)).filter((F.col("hamming") <= radius) & earlier)
-    pairs = pairs.join(items.select("item_id", F.col("fp").alias("item_fp"), F.col("shingles").alias("item_shingles")), ["item_id", "item_fp"])
+    pairs = pairs.join(items.select("item_id", F.col("fp").alias("item_fp"), F.col("size").alias("item_size"), F.col("shingles").alias("item_shingles")), ["item_id", "item_fp"])
+    pairs = pairs.filter((F.col("item_size") >= min_words) | (F.col("shingles") == F.col("item_shingles")))
     pairs = pairs.withColumn("similarity", alike("shingles", "item_shingles")).filter(F.col("similarity") >= least)
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "hamming", "first_word", "n_words")).alias("best")
     return pairs.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", (-F.col("best.s")).alias("similarity"), "best.hamming", "best.first_word", "best.n_words")

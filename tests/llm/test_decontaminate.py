@@ -8,15 +8,21 @@ from tests.llm.conftest import prose
 
 
 def brute(docs, items, radius=op.RADIUS, least=op.LEAST):
-    """Every window of every document against every item, without screening or blocks."""
+    """Every window of every document against every item, without screening or blocks; short items word by word."""
     best = {}
     for item, text in items:
         words = hash_texts([text])[0]
         if len(words) < op.MIN_WORDS:
+            want = words_of(text)
+            for doc, body in docs:
+                have = words_of(body)
+                at = [k for k in range(len(have) - len(want) + 1) if have[k : k + len(want)] == want]
+                if at and want and (len(want) > 1 or len(have) == 1):
+                    best[doc, item] = (-1.0, 0, at[0], len(want))
             continue
         own = op.weigh(words)
         fp = op.fingerprints(own, np.array([0]), np.array([len(own)]))
-        k = op.window_size(len(words)) - 1
+        k = len(words) - 1
         for doc, body in docs:
             theirs = op.weigh(hash_texts([body])[0]) if body and len(words_of(body)) > 1 else np.zeros(0, np.uint64)
             for start in range(max(1, len(theirs) - k + 1) if len(theirs) else 0):
@@ -30,7 +36,7 @@ def brute(docs, items, radius=op.RADIUS, least=op.LEAST):
 
 def cases():
     rng = random.Random(3)
-    items = [(k, prose(1000 + k, 12 + 3 * k)) for k in range(18)] + [(90, "too short to tell"), (91, prose(1000, 12))]
+    items = [(k, prose(1000 + k, 12 + 3 * k)) for k in range(18)] + [(90, "too short to tell"), (91, prose(1000, 12)), (92, "solo"), (93, "two words"), (94, prose(1500, 70)), (95, prose(1501, 133)), (96, "?!")]
     docs = []
     for k in range(60):
         words = prose(k, rng.choice([5, 40, 200])).split(" ")
@@ -44,6 +50,7 @@ def cases():
         docs.append((k, " ".join(words)))
     docs.append((60, items[5][1] + ". " + items[6][1]))
     docs.append((61, items[4][1]))
+    docs += [(62, "it is Too short, to tell apart"), (63, "too short to. be told"), (64, "Solo!"), (65, "solo words two"), (66, "the two words"), (67, ""), (68, "a " + prose(1500, 70) + " b"), (69, prose(7, 300) + " " + prose(1501, 133).replace("the", "thee", 3) + " " + prose(8, 20)), (70, "two words, two words")]
     return docs, items
 
 
@@ -55,7 +62,7 @@ def test_leaks_equal_brute_force(spark):
     assert got.keys() == want.keys() and len(want) > 20
     for key, value in want.items():
         assert np.allclose(got[key], value), key
-    assert {(60, 5), (60, 6), (61, 4)} <= got.keys() and not any(d % 2 == 0 and d < 60 for d, _ in got)
+    assert {(60, 5), (60, 6), (61, 4), (62, 90), (64, 92), (66, 93), (70, 93), (68, 94), (69, 95)} <= got.keys() and not {(63, 90), (65, 92), (65, 93)} & got.keys() and not any(d % 2 == 0 and d < 60 for d, _ in got)
 
 
 def test_screening_keeps_every_similar_window():
@@ -63,17 +70,15 @@ def test_screening_keeps_every_similar_window():
     sizes, screen = {}, np.zeros(1 << 16, bool)
     for _, text in items:
         own = op.weigh(hash_texts([text])[0])
-        size = op.window_size(len(own) + 1)
+        size = len(hash_texts([text])[0])
+        if size < 2:
+            continue
         sizes[size] = min(sizes.get(size, 1 << 40), int(op.weights_of(own).sum()))
         screen[op._slots(own, 16)] = screen[op._slots(own, 16) ^ op._salt(size, 16)] = True
     flat, offsets = hash_texts([t for _, t in docs])
-    found = set(op.screened(flat, offsets, screen, dict(sorted(sizes.items())), op.LEAST))
+    found = set(op.screened(flat, offsets, screen, dict(sorted(sizes.items())), op.LEAST, op.MIN_WORDS))
     for (doc, _), (_, _, start, n) in brute(docs, items).items():
-        assert (doc, start, n - 1) in found
-
-
-def test_window_sizes_are_near():
-    assert all(abs(op.window_size(n) - n) <= 0.035 * n for n in range(1, 5000)) and all(op.window_size(n) == n for n in range(1, 64))
+        assert n == 1 or (doc, start, n - 1) in found
 
 
 def test_edges(spark, edge, empty):
