@@ -18,22 +18,31 @@ from notegrove.llm._shared import fresh_name
 
 #: (bytes from which the band holds, least ratio, greatest ratio) for whole texts. Below 96 bytes no text shrinks enough to tell prose from random strings.
 BANDS = ((0, 0.0, 9.0), (16, 0.9, 1.6), (32, 0.65, 1.3), (64, 0.45, 1.15), (96, 0.40, 1.02), (128, 0.36, 0.93), (192, 0.34, 0.86), (256, 0.32, 0.79), (512, 0.30, 0.74), (1024, 0.28, 0.70), (2048, 0.26, 0.66), (4096, 0.25, 0.64), (16384, 0.22, 0.62))
-#: Bytes of a chunk, the band of full chunks, and the share of chunks outside it from which a text is rejected.
+#: Bytes of a chunk, the band of full chunks, and the share of a text's bytes in chunks outside their band from which it is rejected.
 CHUNK, CHUNK_BAND, CHUNK_SHARE = 4096, (0.28, 0.64), 0.25
 LEVEL = 3
 SCHEMA = "n_bytes long, ratio double, n_chunks int, bad_chunks int, keep boolean"
 
 
 def judge(text: str | None, packer: zstandard.ZstdCompressor, bands: tuple = BANDS, chunk: int = CHUNK, chunk_band: tuple = CHUNK_BAND, share: float = CHUNK_SHARE) -> tuple:
-    """(n_bytes, ratio, n_chunks, bad_chunks, keep); nulls but for keep = False where the text is null or empty."""
+    """(n_bytes, ratio, n_chunks, bad_chunks, keep); nulls but for keep = False where the text is null or empty.
+
+    Every byte is in a chunk: the last one is as long as what is left, and its band is that of texts of its length.
+    """
     if not text:
         return None if text is None else 0, None, 0, 0, False
     raw = text.encode("utf-8", "surrogatepass")
-    ratio = len(packer.compress(raw)) / len(raw)
-    _, least, most = bands[bisect.bisect_right([b[0] for b in bands], len(raw)) - 1]
-    full = len(raw) // chunk
-    bad = sum(not chunk_band[0] <= len(packer.compress(raw[k * chunk : (k + 1) * chunk])) / chunk <= chunk_band[1] for k in range(full))
-    return len(raw), ratio, full, bad, least <= ratio <= most and not (full and bad >= share * full)
+    n, starts = len(raw), [b[0] for b in bands]
+    ratio = len(packer.compress(raw)) / n
+    band = lambda size: bands[bisect.bisect_right(starts, size) - 1][1:]
+    bad = lost = 0
+    for at in range(0, n, chunk):
+        part = raw[at : at + chunk]
+        least, most = chunk_band if len(part) == chunk else band(len(part))
+        if not least <= (ratio if len(part) == n else len(packer.compress(part)) / len(part)) <= most:
+            bad, lost = bad + 1, lost + len(part)
+    least, most = band(n)
+    return n, ratio, -(-n // chunk), bad, least <= ratio <= most and lost < share * n
 
 
 def verdicts(docs: DataFrame, bands: tuple = BANDS, chunk: int = CHUNK, chunk_band: tuple = CHUNK_BAND, share: float = CHUNK_SHARE) -> DataFrame:
