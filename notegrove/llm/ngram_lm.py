@@ -322,8 +322,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER, ranks: str = _tokenizer.DEFAU
 
     names = ["bucket", *(f"q{k}" for k in range(1, order + 1))]
     joined = chunks.select("chunk", "sizes", "held", "held_tokens").join(by_chunk("kept"), "chunk", "left")
-    cells = joined.mapInArrow(tally, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n")).toPandas()
-    weights = learn(cells, order, stop)
+    cells = joined.mapInArrow(tally, ", ".join(f"{c} int" for c in names) + ", n long").groupBy(*names).agg(F.sum("n").alias("n"))
+
+    def learned(frame: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(frame["bucket"].iloc[0])
+        return pd.DataFrame({"bucket": bucket, "level": np.arange(order + 1), "w": learn(frame, order, stop)[bucket]})
+
+    weights = np.full((BUCKETS, order + 1), 1 / (order + 1))
+    for bucket, level, w in cells.groupBy("bucket").applyInPandas(learned, "bucket int, level int, w double").collect():  # buckets times levels
+        weights[bucket, level] = w
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
