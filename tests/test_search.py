@@ -183,3 +183,42 @@ def test_chunk_edges(spark):
     assert [(a, b) for a, b, _ in split_text("x" * 200, ChunkingConfig(8, 0))] == [(1, 1)] * 7
     texts = spark.createDataFrame([(1, "a\nb"), (2, None), (3, "")], "id int, text string")
     assert [(r.id, r.chunk_no, r.start_line, r.end_line, r.text) for r in chunk_texts(texts).orderBy("id").collect()] == [(1, 0, 1, 2, "a\nb"), (3, 0, 1, 1, "")]
+
+
+def test_scores_do_not_depend_on_place_batch_or_threads():
+    """Copies of a vector score alike wherever they stand, in batches of any size, with one or four BLAS threads."""
+    code = """
+import sys, hashlib, numpy as np
+from notegrove.operators.search import best_by_product, unit_rows
+rng = np.random.default_rng(5)
+_, queries = unit_rows(list(rng.normal(size=(40, 64)).astype(np.float32)))
+base = rng.normal(size=(300, 64)).astype(np.float32)
+which = rng.integers(0, 300, 3000)
+seen = {}
+for size in (1, 7, 64, 999, 3000):
+    order = rng.permutation(3000)
+    for at in range(0, 3000, size):
+        part = order[at : at + size]
+        q, c, score = best_by_product(queries, unit_rows(list(base[which[part]]))[1], 20)
+        for a, b, s in zip(q, which[part[c]], score):
+            assert seen.setdefault((a, b), s) == s
+print(hashlib.sha256(repr(sorted((int(a), int(b), float(s)) for (a, b), s in seen.items())).encode()).hexdigest())
+"""
+    import os
+    import subprocess
+    import sys
+
+    said = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"OMP_NUM_THREADS": n, "OPENBLAS_NUM_THREADS": n, "MKL_NUM_THREADS": n}, check=True, capture_output=True, timeout=300).stdout for n in ("1", "4")}
+    assert len(said) == 1
+
+
+def test_ranks_do_not_depend_on_row_order(spark):
+    """Many chunks with the same few vectors and texts, stored in different ways: the same scores and ranks to the last bit."""
+    rows = [(f"c{k:03d}", f"memory/{k}.md", "s", 1, 1, ["alpha beta gamma", "alpha beta", "beta gamma gamma delta"][k % 3], [float((k % 5) * j % 7 - 3) for j in range(64)]) for k in range(300)]
+    table = spark.createDataFrame(rows, "chunk_id string, path string, source string, start_line int, end_line int, text string, embedding array<double>")
+    asked = spark.createDataFrame([(str(q), "gamma beta alpha", [float((q + j) % 11 - 5) for j in range(64)]) for q in range(7)], "query_id string, query string, vec array<double>")
+    told = []
+    for stored in (table.coalesce(1), table.repartition(5), table.orderBy(F.desc("chunk_id")).coalesce(2)):
+        found = ranking.rarity_boost(search.hybrid_search(stored, asked, 15).join(asked.select("query_id", "query"), "query_id"), 0.6)
+        told.append(sorted(map(tuple, ranking.ranked(found).select("query_id", "rank", "chunk_id", "score", "vector_score", "text_score").collect())))
+    assert told[0] == told[1] == told[2] and len(told[0]) == 105
