@@ -58,9 +58,11 @@ class EmbeddingConfig:
     api_key: str | None = None
     timeout: float = 60.0
     batch_size: int = 64
+    #: Requests that one task has under way at a time.
+    concurrency: int = 1
 
     def __post_init__(self) -> None:
-        _require(self.timeout > 0 and self.batch_size > 0, "timeout and batch_size must be above 0")
+        _require(self.timeout > 0 and self.batch_size > 0 and self.concurrency > 0, "timeout, batch_size and concurrency must be above 0")
 
 
 @dataclass(frozen=True)
@@ -149,6 +151,8 @@ class FlushConfig:
     max_tokens: int = 1024
     temperature: float = 0.0
     system_prompt: str | None = None
+    api_base: str | None = None
+    api_key: str | None = None
 
     def __post_init__(self) -> None:
         _require(self.max_tokens > 0 and 0 <= self.temperature <= 2, "max_tokens or temperature out of range")

@@ -9,13 +9,14 @@ import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from notegrove.config import EmbeddingConfig, EmbeddingError
+from notegrove.config import EmbeddingConfig, EmbeddingError, FlushConfig
 
 RETRIED = {429, 500, 502, 503, 504}
 PAUSES = (0.5, 2.0, 8.0)
@@ -34,6 +35,22 @@ class EmbeddingProvider(Protocol):
     def embed_batch(self, texts: list[str]) -> list[list[float]]: ...
 
 
+def batched(items: list, size: int) -> Iterator[list]:
+    """Runs of `size` items, the last one shorter."""
+    if size < 1:
+        raise ValueError("a batch has at least one item")
+    for at in range(0, len(items), size):
+        yield items[at : at + size]
+
+
+def gathered(calls: list[Callable[[], object]], most: int = 1) -> list:
+    """Results in order of calls, at most `most` of them under way at a time; the first error in that order is raised."""
+    if most < 2 or len(calls) < 2:
+        return [call() for call in calls]
+    with ThreadPoolExecutor(min(most, len(calls))) as pool:
+        return [f.result() for f in [pool.submit(call) for call in calls]]
+
+
 def at_length_one(vector: list[float]) -> list[float]:
     array = np.asarray(vector, float)
     length = float(np.linalg.norm(array))
@@ -110,16 +127,32 @@ class HttpEmbedder:
         return self.embed_batch([text])[0]
 
     def embed_batch(self, texts: list[str]) -> list[list[float]]:
-        out: list[list[float]] = []
-        for at in range(0, len(texts), self.config.batch_size):
-            out += with_retries(lambda part=texts[at : at + self.config.batch_size]: self._post(part))
-        return out
+        calls = [lambda part=part: with_retries(lambda: self._post(part)) for part in batched(texts, self.config.batch_size)]
+        return [vector for part in gathered(calls, self.config.concurrency) for vector in part]
 
     def _post(self, texts: list[str]) -> list[list[float]]:
-        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.config.api_key}"} if self.config.api_key else {})
-        request = urllib.request.Request(f"{(self.config.api_base or '').rstrip('/')}/embeddings", json.dumps({"model": self.model, "input": texts}).encode(), headers)
-        with urllib.request.urlopen(request, timeout=self.config.timeout) as answer:
-            return [at_length_one(x["embedding"]) for x in json.load(answer)["data"]]
+        answer = posted(f"{(self.config.api_base or '').rstrip('/')}/embeddings", {"model": self.model, "input": texts}, self.config.api_key, self.config.timeout)
+        return [at_length_one(x["embedding"]) for x in answer["data"]]
+
+
+def posted(url: str, body: dict, api_key: str | None = None, timeout: float = 60.0) -> dict:
+    """The JSON that a service answers."""
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {api_key}"} if api_key else {})
+    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=timeout) as answer:
+        return json.load(answer)
+
+
+class HttpExtractor:
+    """What a chat service makes of messages: takes {"model", "messages", "max_tokens", "temperature"}, gives {"choices": [{"message": {"content"}}]}."""
+
+    def __init__(self, config: FlushConfig) -> None:
+        self.config = config
+
+    def __call__(self, messages: list[dict]) -> str | None:
+        c = self.config
+        body = {"model": c.model, "messages": messages, "max_tokens": c.max_tokens, "temperature": c.temperature}
+        answer = with_retries(lambda: [posted(f"{(c.api_base or '').rstrip('/')}/chat/completions", body, c.api_key)])[0]
+        return answer["choices"][0]["message"]["content"]
 
 
 def with_halving(provider: EmbeddingProvider, text: str, least: int = 100) -> list[float] | None:

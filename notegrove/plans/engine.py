@@ -16,7 +16,7 @@ from notegrove.config import EngineConfig, FlushError, GroveError, IndexError_,
 from notegrove.functions import scalar
 from notegrove.operators import ranking, search
 from notegrove.plans import index
-from notegrove.plans.embedders import EmbeddingProvider, HashEmbedder, embed
+from notegrove.plans.embedders import EmbeddingProvider, HashEmbedder, HttpExtractor, embed
 from notegrove.sources import files
 from notegrove.sources.shared import kept
 
@@ -70,6 +70,9 @@ class Engine:
         self.watch = None
         self._dirty: bool | None = None
 
+    def __repr__(self) -> str:
+        return f"Engine({self.workspace!r}, provider={self.provider.name if self.provider else None}, version={self.snapshots.current})"
+
     def __enter__(self) -> Engine:
         return self.open()
 
@@ -284,11 +287,15 @@ class Engine:
         self.snapshots.commit({}, {"cache": self.spark.createDataFrame([], index.CACHE)})
         return n
 
-    def flush(self, conversation: list[dict], extract: Callable[[list[dict]], str | None], system_prompt: str | None = None, today: datetime.date | None = None) -> str | None:
+    def flush(self, conversation: list[dict], extract: Callable[[list[dict]], str | None] | None = None, system_prompt: str | None = None, today: datetime.date | None = None) -> str | None:
         """Appends what `extract` makes of a conversation to today's note and indexes it; None if that is nothing.
 
-        extract gets the messages with a system prompt before them, in which YYYY-MM-DD has become today's date.
+        extract gets the messages with a system prompt before them, in which YYYY-MM-DD has become today's date; a chat
+        service (config.flush) if it is None. Flushing that is switched off appends nothing.
         """
+        if not self.config.flush.enabled:
+            return None
+        extract = extract or HttpExtractor(self.config.flush)
         day = (today or datetime.date.today()).isoformat()
         prompt = (system_prompt or self.config.flush.system_prompt or EXTRACT).replace("YYYY-MM-DD", day)
         try:

@@ -16,7 +16,7 @@ OWN_FOLDER = ".notegrove"
 
 def _local(path: Column) -> Column:
     """A file URL as a plain path."""
-    return F.url_decode(F.replace(F.regexp_replace(path, r"^file:/+", "/"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(path, r"^file:/+", "/")
 
 
 def _places(workspace: str, extra: tuple[str, ...]) -> tuple[list[str], list[str]]:
@@ -41,21 +41,15 @@ def list_workspace(spark: SparkSession, workspace: str, extra: tuple[str, ...] =
     roots, files = _places(workspace, extra)
     if not roots and not files:
         return spark.createDataFrame([], "abs_path string, path string, source string, hash string, mtime double, size long, text string")
-    url = lambda p: "file://" + p
-    raw, texts = [], []
-    for group, option in ((roots, True), (files, False)):
+    rows = None
+    for group, deep in ((roots, True), (files, False)):
         if group:
-            reader = lambda f: spark.read.format(f).option("recursiveFileLookup", option).option("pathGlobFilter", "*.md")  # noqa: B023, E731
-            raw.append(reader("binaryFile").load([url(p) for p in group]).select(F.col("path").alias("url"), F.sha2("content", 256).alias("hash"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"), F.col("length").alias("size")))
-            texts.append(reader("text").option("wholetext", True).load([url(p) for p in group]).select(F.col("_metadata.file_path").alias("url"), F.col("value").alias("text")))
-    for parts in (raw, texts):
-        while len(parts) > 1:
-            parts[:2] = [parts[0].unionByName(parts[1])]
-    keyed = lambda df: df.withColumn("abs_path", _local(F.col("url"))).drop("url").dropDuplicates(["abs_path"])
-    both = keyed(raw[0]).join(keyed(texts[0]), "abs_path", "left").filter(~F.contains(F.col("abs_path"), F.lit(f"/{OWN_FOLDER}/")))
-    path = scalar.relative_key(F.col("abs_path"), workspace)
-    text = F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n")
-    return both.select("abs_path", path.alias("path"), scalar.source_label(path).alias("source"), "hash", "mtime", "size", text.alias("text")).orderBy("path")
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", deep).option("pathGlobFilter", "*.md").load([f"file://{p}" for p in group])
+            rows = found if rows is None else rows.unionByName(found)
+    rows = rows.withColumn("abs_path", _local(F.col("path"))).dropDuplicates(["abs_path"]).filter(~F.contains(F.col("abs_path"), F.lit(f"/{OWN_FOLDER}/")))
+    path, mtime = scalar.relative_key(F.col("abs_path"), workspace), F.unix_micros("modificationTime") / 1e6
+    text = F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), r"\r\n?", "\n")
+    return rows.select("abs_path", path.alias("path"), scalar.source_label(path).alias("source"), F.sha2("content", 256).alias("hash"), mtime.alias("mtime"), F.col("length").alias("size"), text.alias("text")).orderBy("path")
 
 
 def file_entry(path: str) -> dict:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notegrove import cli
-from notegrove.config import ConfigError, EngineConfig, FlushError, HybridConfig, IndexError_, QueryConfig, StorageError, StrategyError, SyncConfig, VectorsUnavailable, ChunkingConfig
+from notegrove.config import ConfigError, EmbeddingConfig, EngineConfig, FlushConfig, FlushError, HybridConfig, IndexError_, QueryConfig, StorageError, StrategyError, SyncConfig, VectorsUnavailable, ChunkingConfig
 from notegrove.operators import evaluate, ranking, search
 from notegrove.plans import embedders, index
 from notegrove.plans.embedders import CodePointEmbedder, HashEmbedder
@@ -31,11 +31,11 @@ def ws(tmp_path):
 
 
 def test_listing(spark, ws):
-    write(ws, bad=b"caf\xff\r\nx\ry", **{".notegrove__own": "no"})
+    write(ws, bad=b"caf\xff\r\nx\ry", **{".notegrove__own": "no", "a b+c%20": "odd name"})
     (ws / "extra.md").write_text("extra")
     (ws / "extra.txt").write_text("no")
     got = {r.path: r for r in files.list_workspace(spark, str(ws), ("extra.md", "extra.txt", "missing", "memory/cats.md")).collect()}
-    assert set(got) == {"extra.md", "memory/bad.md", "memory/cats.md", "memory/notes.md", "memory/sessions/talk.md"}
+    assert set(got) == {"extra.md", "memory/a b+c%20.md", "memory/bad.md", "memory/cats.md", "memory/notes.md", "memory/sessions/talk.md"}
     assert got["memory/bad.md"].text == "caf�\nx\ny" and got["extra.md"].source == "external" and got["memory/sessions/talk.md"].source == "sessions"
     entry = files.file_entry(str(ws / "memory" / "bad.md"))
     assert entry["hash"] == got["memory/bad.md"].hash and entry["size"] == got["memory/bad.md"].size and abs(entry["mtime"] - got["memory/bad.md"].mtime) < 0.01
@@ -177,6 +177,52 @@ def test_stored_postings_equal_those_made_anew(spark, ws):
     assert [r.path for r in engine.files("sessions").collect()] == ["memory/sessions/talk.md"] and engine.files("it's \\ odd").count() == 0
 
 
+def test_services(ws, spark):
+    """Embeddings in batches, several under way, and flushing, against a service on this machine."""
+    import http.server
+    import threading
+
+    seen, lock, now, most = [], threading.Lock(), [0], [0]
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            with lock:
+                seen.append((self.path, self.headers.get("Authorization"), body))
+                now[0] += 1
+                most[0] = max(most[0], now[0])
+            time.sleep(0.05)
+            with lock:
+                now[0] -= 1
+            out = {"data": [{"embedding": [len(t), 1.0]} for t in body["input"]]} if "input" in body else {"choices": [{"message": {"content": "Kept."}}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/v1/"
+    embedder = embedders.HttpEmbedder(EmbeddingConfig(model="m", api_base=base, api_key="key", batch_size=2, concurrency=3))
+    texts = ["x" * k for k in range(1, 12)]
+    got = embedder.embed_batch(texts)
+    assert [round(v[0] / v[1]) for v in got] == [len(t) for t in texts] and 1 < most[0] <= 3
+    assert len(seen) == 6 and all(p == "/v1/embeddings" and a == "Bearer key" and len(b["input"]) <= 2 for p, a, b in seen)
+    assert list(embedders.batched([1, 2, 3], 2)) == [[1, 2], [3]] and embedders.gathered([lambda: 1, lambda: 2], 5) == [1, 2]
+    with pytest.raises(ZeroDivisionError):
+        embedders.gathered([lambda: 1, lambda: 1 / 0, lambda: 3], 2)
+    flush = FlushConfig(model="chat", max_tokens=9, temperature=0.5, api_base=base)
+    engine = Engine(spark, EngineConfig(workspace_dir=str(ws), flush=flush))
+    assert engine.flush([{"role": "user", "content": "hi"}], today=datetime.date(2026, 5, 6)) == "Kept."
+    path, _, body = seen[-1]
+    assert path == "/v1/chat/completions" and (body["model"], body["max_tokens"], body["temperature"]) == ("chat", 9, 0.5) and body["messages"][1]["content"] == "hi"
+    off = Engine(spark, EngineConfig(workspace_dir=str(ws), flush=FlushConfig(enabled=False)))
+    assert off.flush([{"role": "user", "content": "hi"}]) is None and "version=" in repr(engine)
+    server.shutdown()
+
+
 def test_embedders(spark):
     with pytest.raises(embedders.EmbeddingError):
         embedders.with_retries(lambda: 1 / 0, sleep=lambda s: None)
