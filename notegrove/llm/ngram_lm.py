@@ -31,7 +31,7 @@ from notegrove.llm import _tokenizer
 from notegrove.llm._shared import mix, written
 
 #: Longest n-gram; one document in so many is held out; tokens of a chunk, about, and events handled at once.
-ORDER, HELD_ONE_IN, CHUNK_TOKENS, BLOCK = 3, 20, 4_000_000, 500_000
+ORDER, HELD_ONE_IN, CHUNK_TOKENS, BLOCK = 3, 20, 2_500_000, 500_000
 #: Blocks that one task sums at a time, and n-grams of a bucket, repeats in different chunks included: at most, about.
 FAN, BUCKET_KEYS = 1024, 8_000_000
 #: Buckets of context frequency; steps of a bit in which held-out estimates are tallied; rounds of EM.

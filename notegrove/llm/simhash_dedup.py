@@ -10,8 +10,8 @@ every value has its home anchor within the covering radius of each block, and is
 covering radius plus excess, excesses summing to t at most. By the triangle inequality a value within t of another
 is replicated to that one's home, so comparing homes with replicas at each anchor finds every pair: the search is
 exact. Which blocks are used changes the cost alone: more blocks mean more anchors, smaller buckets and more replicas.
-A piece has 16 bits, which one Golay code covers. Both fingerprints go along with a replica, so that only near
-duplicates leave the comparison. Where an anchor gets too many replicas, they are cut into
+A piece has 16 bits, which one Golay code covers. Anchors are hashed to buckets. Both fingerprints go along, once for all
+the replicas of a text in a bucket, so that only near duplicates leave the comparison. Where an anchor gets too many replicas, they are cut into
 slices and its homes go to each.
 """
 
@@ -35,8 +35,8 @@ POWER = 0.65
 #: (distinct fingerprints up to which a set of blocks is used, the blocks); a block is (length, generator, covering radius).
 GOLAY, HAMMING, BIT = (23, 0b101011100011, 3), (7, 0b1011, 1), (1, 0b1, 0)
 CODES = ((float("inf"), (GOLAY,)),)
-#: Rows of one Python call in the comparison, about, and fingerprint pairs compared at once.
-BUCKET_ROWS, BLOCK_PAIRS = 400_000, 4_000_000
+#: Homes and replicas of one Python call in the comparison, about, fingerprint pairs compared at once, and fingerprints spread at once.
+BUCKET_ROWS, BLOCK_PAIRS, BATCH = 2_000_000, 4_000_000, 5_000
 PRINTS = ("fp", "v1", "v2", "v3")
 
 
@@ -150,31 +150,60 @@ def near_pairs(distinct: DataFrame, count: int, radius: int = RADIUS, check_radi
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), 2000):
-                ids, four = frame["id"].to_numpy()[at : at + 2000], frame[list(PRINTS)].to_numpy()[at : at + 2000]
+            for at in range(0, len(frame), BATCH):
+                ids, four = frame["id"].to_numpy()[at : at + BATCH], frame[list(PRINTS)].to_numpy()[at : at + BATCH]
+                keys, who, homes = [], [], []
                 for piece, (start, end) in enumerate(itertools.pairwise(edges)):
                     value = four[:, 0].astype(np.uint64) >> np.uint64(start) & np.uint64((1 << end - start) - 1)
                     home, rows, anchor = anchors(value.astype(np.int64), blocks, excess)
                     own = (mix(ids[rows], 5) % np.uint64(slices)).astype(np.int64)
-                    every = np.concatenate([np.repeat(home, slices) | (np.tile(np.arange(slices), len(home)) << 40), anchor | (own << 40)]) << 2 | piece
-                    who = np.concatenate([np.repeat(np.arange(len(ids)), slices), rows])
-                    yield pd.DataFrame({"bucket": (mix(every.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32), "anchor": every, "home": np.arange(len(every)) < len(home) * slices, "id": ids[who], **{c: four[who, k] for k, c in enumerate(PRINTS)}})
+                    keys.append(np.concatenate([np.repeat(home, slices) | (np.tile(np.arange(slices), len(home)) << 40), anchor | (own << 40)]) << 2 | piece)
+                    who.append(np.concatenate([np.repeat(np.arange(len(ids)), slices), rows]))
+                    homes.append(np.arange(len(keys[-1])) < len(home) * slices)
+                keys, who, homes = map(np.concatenate, (keys, who, homes))
+                bucket = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+                order = np.lexsort((keys, bucket))
+                bounds = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+                own = [order[a:b] for a, b in itertools.pairwise(bounds)]
+                yield pd.DataFrame({"bucket": [bucket[o[0]] for o in own], "load": [_load(ids, four, keys[o], who[o], homes[o]) for o in own]})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        anchor = frame["anchor"].to_numpy()
+        ids, prints, anchor, who, home = _unload(frame["load"])
         order = np.argsort(anchor, kind="stable")
-        ids, prints, home, anchor = frame["id"].to_numpy()[order], np.stack([frame[c].to_numpy().view(np.uint64)[order] for c in PRINTS], 1), frame["home"].to_numpy()[order], anchor[order]
+        who, home, anchor = who[order], home[order], anchor[order]
         edges = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1], [True]]))
         left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             if end - start > 1 and home[start:end].any():
-                a, b = _compare(ids[start:end], prints[start:end], home[start:end], radius, check_radius)
+                a, b = _compare(ids[who[start:end]], prints[who[start:end]], home[start:end], radius, check_radius)
                 left += a
                 right += b
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)}).drop_duplicates()
 
-    schema = "bucket int, anchor long, home boolean, id long, " + ", ".join(f"{c} long" for c in PRINTS)
-    return distinct.select("id", *PRINTS).mapInPandas(spread, schema).groupBy("bucket").applyInPandas(compare, "a long, b long")
+    return distinct.select("id", *PRINTS).mapInPandas(spread, "bucket int, load binary").groupBy("bucket").applyInPandas(compare, "a long, b long")
+
+
+def _load(ids: np.ndarray, four: np.ndarray, keys: np.ndarray, who: np.ndarray, home: np.ndarray) -> bytes:
+    """What one batch sends to a bucket: each of its fingerprints once, then homes and replicas by their number in that list.
+
+    Anchors go by bytes of equal weight, most of which are zero, so that shuffles compress them.
+    """
+    which, at = np.unique(who, return_inverse=True)
+    planes = np.ascontiguousarray(keys.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return np.array([len(which), len(keys)], "<i4").tobytes() + ids[which].astype("<i8").tobytes() + four[which].astype("<i8").tobytes() + planes.tobytes() + at.astype("<u2").tobytes() + np.packbits(home).tobytes()
+
+
+def _unload(loads: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids and prints of all loads; of all homes and replicas the anchor, the place of its fingerprint in those, and whether it is a home."""
+    parts, base = [], 0
+    for load in loads:
+        n, m = np.frombuffer(load, "<i4", 2).tolist()
+        ends = np.cumsum([8, 8 * n, 32 * n, 8 * m, 2 * m])
+        read = lambda k, kind, end=None: np.frombuffer(load[ends[k] : end or (ends[k + 1] if k < 4 else None)], kind)  # noqa: B023, E731
+        planes = read(2, np.uint8).reshape(8, m)
+        parts.append((read(0, "<i8"), read(1, "<u8").reshape(n, 4), np.ascontiguousarray(planes.T).view("<i8").ravel(), read(3, "<u2").astype(np.int64) + base, np.unpackbits(read(4, np.uint8), count=m).astype(bool)))
+        base += n
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
 
 
 def components(edges: DataFrame) -> DataFrame:

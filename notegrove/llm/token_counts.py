@@ -18,9 +18,13 @@ from notegrove.llm._shared import session_folder
 CACHE_SCHEMA = "digest binary, tokenizer binary, n_tokens long"
 
 
+#: ASCII white space.
+BLANKS = " \t\n\v\f\r"
+
+
 def normalised(text: Column) -> Column:
-    """Line ends as \\n, no white space at the end: what the counts are counts of."""
-    return F.rtrim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
+    """Line ends as \\n, no ASCII white space at the end: what the counts are counts of."""
+    return F.rtrim(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), F.lit(BLANKS))
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -56,3 +60,10 @@ def token_counts(docs: DataFrame, cache: str | None = None, ranks: str = _tokeni
     misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache)
     counts = known().groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
     return text.select("doc_id", digest).join(counts, "digest", "left").select("doc_id", "n_tokens")
+
+
+def warm_counts(docs: DataFrame, **settings) -> DataFrame:
+    """token_counts of rows that the cache knows all: one run fills a fresh cache, the second encodes nothing."""
+    cache = session_folder(docs.sparkSession, "token-cache")
+    token_counts(docs, cache, **settings)
+    return token_counts(docs, cache, **settings)

@@ -6,6 +6,8 @@ redundancy and are matched through an inverted index on each rule's rarest token
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE = 0.002, 5, 0.5
 #: Factor by which a rule raises the share of bad URLs, or else lowers that of good ones, at least; a rule without good URLs meets it always.
 MIN_LIFT = 1.5
 BAD = "label:bad"
+#: Kinds of host tokens that are left out of a run: what a host implies never stands beside it, so sets don't multiply.
+WITHOUT = (("sub:", "domain:", "suffix:"), ("host:", "suffix:"), ("host:", "domain:"))
 
 
 def url_tokens(url: Column) -> Column:
@@ -58,7 +62,8 @@ def labelled_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
 def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int = MIN_ROWS, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT) -> DataFrame:
     """(tokens, confidence, support, key): rules tokens -> bad from (url, bad), every row a transaction.
 
-    A rule goes where a rule on part of its tokens is at least as confident. key: its token that is rarest among the
+    FP-growth runs once with hosts, once with sub-domains and domains, once with sub-domains and suffixes: a set that holds
+    a host and what that implies says no more than the set without it. A rule goes where a rule on part of its tokens is at least as confident. key: its token that is rarest among the
     labelled URLs, the first of equally rare ones.
     """
     spark = labelled.sparkSession
@@ -68,9 +73,13 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
     total, bad = baskets.agg(F.count("*"), F.count_if(F.array_contains("items", BAD))).first()
     if not bad:
         return spark.createDataFrame([], schema)
-    found = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / total)), minConfidence=min_confidence).fit(baskets).associationRules
+    found = None
+    for kinds in WITHOUT:
+        some = baskets.select(F.filter("items", lambda t: ~functools.reduce(lambda a, b: a | b, (F.startswith(t, F.lit(k)) for k in kinds))).alias("items"))  # noqa: B023
+        rules = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / total)), minConfidence=min_confidence).fit(some).associationRules
+        found = rules if found is None else found.unionByName(rules)
     bar = min(min_lift * bad / total, 1 - (1 - bad / total) / min_lift)
-    rules = found.filter(F.col("consequent")[0] == BAD).filter(F.col("confidence") >= bar).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+    rules = found.filter(F.col("consequent")[0] == BAD).filter(F.col("confidence") >= bar).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support").groupBy("tokens").agg(F.max("confidence").alias("confidence"), F.max("support").alias("support"))
     rules = written(rules, "rules")
     part = rules.select(F.col("tokens").alias("less"), F.col("confidence").alias("c"), F.explode("tokens").alias("token")).withColumn("one", F.col("less")[0]).filter("token = one").drop("token")
     redundant = rules.select("tokens", "confidence", F.explode("tokens").alias("one")).join(part, "one").filter((F.size("less") < F.size("tokens")) & (F.col("c") >= F.col("confidence")) & (F.size(F.array_except("less", "tokens")) == 0)).select("tokens").distinct()

@@ -34,6 +34,15 @@ def test_stages_follow_their_operators(spark, stages):
     assert ids(docs) > ids(good) >= ids(ruled) > ids(single) > ids(clean)
 
 
+def test_every_stage_takes_an_empty_table_and_clashing_names(spark, edge):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        got = stage(spark, edge, SF)
+        assert name == "packing" or got.columns == edge.columns
+        assert got.count() > 0
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(corpus_pipeline.run(spark, SF).collect()) == sorted(stages[-1].collect())
 

@@ -40,14 +40,51 @@ def test_pool_adjacent_is_the_best_monotone_fit():
         assert np.allclose(fit, [max(min(mean(a, b) for b in range(k, 6)) for a in range(k + 1)) for k in range(6)])
 
 
-def test_held_out_accuracy_and_normal_equations(spark):
+def labelled(spark):
     docs = [(k, prose(k, 30 + k % 200) if k % 4 else junk(k)) for k in range(600)]
-    table = spark.createDataFrame(docs, "doc_id long, text string")
-    labels = spark.createDataFrame([(k, int(k % 4 > 0), 0) for k in range(400)] + [(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    labels = [(k, int(k % 4 > 0), 0) for k in range(400)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([*labels, (1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+
+
+def test_held_out_accuracy(spark):
+    _, table, labels = labelled(spark)
     got = {r.doc_id: r for r in quality_model.quality_scores(table, labels).collect()}
     assert np.mean([got[k].keep == bool(k % 4) for k in range(400, 600)]) > 0.97
+
+
+def test_fit_equals_dense_ridge_and_its_calibration_the_min_max_formula(spark):
+    """All rows in one matrix: weights from least squares with the penalty as rows, levels from their definition."""
+    docs, table, labels = labelled(spark)
+    model = quality_model.fit(table, labels)
+    held = {r.doc_id: r.h for r in table.selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 10000) < 2500 AS h").collect()}
+    x = np.array([quality_model.statistics(t) for _, t in docs[:400]])
+    y, out = np.array([float(k % 4 > 0) for k in range(400)]), np.array([held[k] for k in range(400)])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, np.maximum(x.std(0), 1e-3))
+    z = quality_model.lift(x, x.mean(0), np.maximum(x.std(0), 1e-3))
+    penalty = np.sqrt(np.diag([quality_model.RIDGE] * quality_model.FEATURES + [1e-9]))
+    weights = np.linalg.lstsq(np.vstack([z[~out], penalty]), np.concatenate([y[~out], np.zeros(len(penalty))]), rcond=None)[0]
+    assert np.allclose(model.weights, weights, atol=1e-6)
+    bins = np.clip(((z[out] @ weights + 1) / 3 * quality_model.BINS).astype(int), 0, quality_model.BINS - 1)
+    steps = np.unique(bins)
+    p, n = np.array([y[out][bins == b].mean() for b in steps]), np.array([(bins == b).sum() for b in steps])
+    mean = lambda a, b: np.average(p[a : b + 1], weights=n[a : b + 1])
+    assert np.allclose(model.levels, [max(min(mean(a, b) for b in range(k, len(p))) for a in range(k + 1)) for k in range(len(p))])
+    assert np.allclose(model.steps, steps * 3 / quality_model.BINS - 1)
+
+
+def test_fit_is_near_exact_kernel_ridge(spark):
+    """The Gaussian kernel itself in place of its features, on the same rows."""
+    docs, table, labels = labelled(spark)
     model = quality_model.fit(table, labels)
-    assert (np.diff(model.levels) >= 0).all() and model.levels.min() >= 0 and model.levels.max() <= 1
+    held = {r.doc_id: r.h for r in table.selectExpr("doc_id", "pmod(xxhash64(doc_id, 1), 10000) < 2500 AS h").collect()}
+    x = np.clip((np.array([quality_model.statistics(t) for _, t in docs]) - model.mean) / model.scale, -8, 8)
+    train = np.array([k for k in range(400) if not held[k]])
+    gauss = lambda a, b: np.exp(-((a[:, None] - b[None]) ** 2).sum(-1) / (2 * quality_model.BANDWIDTH**2 * x.shape[1]))
+    y = (train % 4 > 0).astype(float)
+    dual = np.linalg.solve(gauss(x[train], x[train]) + quality_model.RIDGE * np.eye(len(train)), y - y.mean())
+    exact = gauss(x[400:], x[train]) @ dual + y.mean()
+    ours = model.score(np.array([quality_model.statistics(t) for _, t in docs[400:]]))
+    assert np.corrcoef(exact, ours)[0, 1] > 0.97 and np.abs(exact - ours).mean() < 0.1
 
 
 def test_classifier_edges(spark, edge, empty):
@@ -58,13 +95,41 @@ def test_classifier_edges(spark, edge, empty):
     assert quality_model.quality_scores(empty, labels).count() == 0
 
 
-def test_compression_equals_direct_judgement(spark, edge, empty):
-    docs = spark.createDataFrame([(k, prose(k, 10 + 40 * k)) for k in range(40)] + [(100 + k, junk(k)) for k in range(9)] + [(200, prose(1, 2000) + "ab" * 20_000)], "doc_id long, text string")
-    packer = zstandard.ZstdCompressor(level=3)
-    for r in compression_rules.compression_report(docs).join(docs, "doc_id").collect():
-        n, ratio, full, bad, keep = compression_rules.judge(r.text, packer)
-        assert (r.n_bytes, r.n_chunks, r.bad_chunks, r.keep) == (n, full, bad, keep) and abs(r.ratio - ratio) < 1e-12
-        assert r.keep == (r.doc_id < 100 or r.doc_id < 200 and (r.doc_id - 100) % 3 != 1)
+def plain_judge(text):
+    """The rules again, in loops: limits looked up from the top, chunks cut by slices, shares of bytes."""
+    if not text:
+        return False, 0
+    raw = text.encode()
+
+    def outside(part, full):
+        ratio = len(zstandard.compress(part, 3)) / len(part)
+        if full:
+            low, high = 0.28, 0.64
+        else:
+            low, high = next((low, high) for least, low, high in sorted(compression_rules.BANDS, reverse=True) if len(part) >= least)
+        return ratio < low or ratio > high
+
+    parts = []
+    while raw[4096 * len(parts) :]:
+        parts.append(raw[4096 * len(parts) : 4096 * (len(parts) + 1)])
+    bad = [p for p in parts if outside(p, len(p) == 4096)]
+    return not outside(raw, False) and sum(map(len, bad)) < 0.25 * len(raw), len(bad)
+
+
+def test_compression_equals_an_independent_judge(spark, edge, empty):
+    rng = random.Random(8)
+    noise = "".join(rng.choices(string.ascii_letters + string.digits, k=9000))
+    docs = [(k, prose(k, 10 + 40 * k)) for k in range(40)] + [(100 + k, junk(k)) for k in range(9)] + [(200, prose(1, 2000) + "ab" * 20_000)]
+    docs += [(300 + k, prose(k, 900)[: 4096 + n] + noise[:n]) for k, n in enumerate((1, 40, 500, 1500, 3000, 4095, 5000))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for r in compression_rules.compression_report(table).join(table, "doc_id").collect():
+        size = len(r.text.encode())
+        assert (r.keep, r.bad_chunks) == plain_judge(r.text) and r.n_bytes == size and r.n_chunks == -(-size // 4096)
+        assert abs(r.ratio - len(zstandard.compress(r.text.encode(), 3)) / size) < 0.02
+        if r.doc_id < 300:
+            assert r.keep == (r.doc_id < 100 or r.doc_id < 200 and (r.doc_id - 100) % 3 != 1)
+    # noise at the end counts although it fills no chunk
+    assert not compression_rules.judge(prose(3, 900)[:5000] + noise[:3000], zstandard.ZstdCompressor(level=3))[4]
     rows = {(r.doc_id, r.n_bytes): r for r in compression_rules.compression_report(edge).collect()}
     assert not rows[1, None].keep and not rows[2, 0].keep and rows[2, 0].ratio is None and not rows[7, 50_000].keep and rows[4, max(b for d, b in rows if d == 4)].keep
     kept = compression_rules.keep_by_compression(edge)
@@ -80,7 +145,7 @@ def test_encoded_and_random_strings_are_rejected_and_prose_kept():
             mixed = "".join(rng.choices(string.ascii_letters + string.digits, k=size))
             assert not any(compression_rules.judge(t, packer)[4] for t in (encoded, mixed)), size
             assert compression_rules.judge(prose(seed, size)[:size], packer)[4], size
-    assert compression_rules.judge(encoded, packer)[3] == 4
+    assert compression_rules.judge(encoded, packer)[3] == 5
     assert not compression_rules.judge("x" * 40, packer)[4] and compression_rules.judge(prose(3, 6), packer)[4]
 
 

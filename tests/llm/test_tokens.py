@@ -13,7 +13,7 @@ coder = _tokenizer.load()
 
 def test_counts_equal_direct_encoding_and_reuse_the_cache(spark, edge, empty, tmp_path):
     cache = str(tmp_path / "cache")
-    norm = lambda t: t.replace("\r\n", "\n").replace("\r", "\n").rstrip(" ")
+    norm = lambda t: t.replace("\r\n", "\n").replace("\r", "\n").rstrip(" \t\n\x0b\x0c\r")
     want = Counter((r.doc_id, None if r.text is None else len(coder.encode_ordinary(norm(r.text)))) for r in edge.collect())
     got = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(edge, cache).collect())
     assert got == want
@@ -22,9 +22,22 @@ def test_counts_equal_direct_encoding_and_reuse_the_cache(spark, edge, empty, tm
     token_counts.token_counts(edge.unionByName(edge), cache)
     assert spark.read.parquet(cache).count() == stored.count()
     more = spark.createDataFrame([(9, "a new text\r\n")], "doc_id long, text string")
-    assert token_counts.token_counts(more, cache).first().n_tokens == len(coder.encode_ordinary("a new text\n"))
+    assert token_counts.token_counts(more, cache).first().n_tokens == len(coder.encode_ordinary("a new text"))
     assert spark.read.parquet(cache).count() == stored.count() + 1
     assert token_counts.token_counts(empty).count() == 0
+    tails = spark.createDataFrame([(k, f"a b{t}") for k, t in enumerate(["\n", "\t \r\n\x0b\x0c", "\u00a0", ""])], "doc_id long, text string")
+    assert {r.doc_id: r.n_tokens for r in token_counts.token_counts(tails).collect()} == {0: 2, 1: 2, 2: len(coder.encode_ordinary("a b\u00a0")), 3: 2}
+
+
+def test_a_warm_cache_gives_the_same_and_is_not_appended_to(spark, edge, tmp_path):
+    cache = str(tmp_path / "cache")
+    cold = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(edge, cache).collect())
+    stored = spark.read.parquet(cache)
+    spark.createDataFrame([(r.digest, r.tokenizer, r.n_tokens + 1000) for r in stored.collect()], stored.schema).write.parquet(str(tmp_path / "other"))
+    # counts that no encoding gives show that they came from the cache
+    warm = Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(edge, str(tmp_path / "other")).collect())
+    assert warm == Counter({(d, None if n is None else n + 1000): c for (d, n), c in cold.items()})
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.warm_counts(edge).collect()) == cold
 
 
 def squares(counts):
@@ -87,15 +100,26 @@ def test_orc_round_trip_and_lookup(spark, edge, empty, tmp_path):
     assert token_orc.tokens_through_orc(empty).count() == 0
 
 
-def test_orc_files_have_bloom_filters_and_indexes(spark, edge, tmp_path):
+def rows_scanned(df):
+    """Rows that the scan gave to the filter above it: whole row groups, as the filter alone looks at single rows."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_a_lookup_reads_no_row_group_that_bloom_filters_exclude(spark, tmp_path):
     from pyarrow import orc
 
-    path = tmp_path / "orc"
-    token_orc.write_tokens(edge.coalesce(1), str(path))
-    (file,) = path.glob("*.orc")
-    meta = orc.ORCFile(str(file))
-    assert meta.compression == "ZSTD" and meta.row_index_stride == 2000
-    assert b"doc_id" in file.read_bytes()[-2000:] and meta.nrows == edge.count()
+    docs = spark.range(0, 40_000, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    token_orc.write_tokens(docs, str(tmp_path / "bloom"))
+    token_orc.write_tokens(docs, str(tmp_path / "plain"), options={k: v for k, v in token_orc.OPTIONS.items() if "bloom" not in k})
+    (file,) = (tmp_path / "bloom").glob("*.orc")
+    assert orc.ORCFile(str(file)).compression == "ZSTD" and orc.ORCFile(str(file)).row_index_stride == 2000
+    absent = [1001, 9001, 20_001, 33_333]  # within the minima and maxima of some row group each
+    plain, bloom = ([rows_scanned(token_orc.read_tokens(spark, str(tmp_path / name), [k])) for k in absent] for name in ("plain", "bloom"))
+    assert plain == [2000] * 4 and sum(n == 0 for n in bloom) >= 3
+    assert rows_scanned(token_orc.read_tokens(spark, str(tmp_path / "bloom"), [9000])) == 2000
+    assert rows_scanned(token_orc.read_tokens(spark, str(tmp_path / "bloom"), [90_000])) == 0
 
 
 @settings(max_examples=60, deadline=None)
