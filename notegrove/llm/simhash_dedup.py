@@ -1,18 +1,23 @@
-"""Near-duplicate groups by SimHash and anchor points.
+"""Near-duplicate groups by SimHash and covering masks.
 
 Each text gets a 64-bit SimHash of its words and a 192-bit SimHash of its words and word pairs. Two texts are near
 duplicates when the first differ in at most `radius` bits and the second in at most `check_radius`; groups are the
 connected components, and the smallest doc_id of a group stays.
 
-Search. Of two fingerprints within radius 4t+3, one of four pieces agrees within t. A product of perfect codes (Golay
-[23,12] with covering radius 3, Hamming [7,4] with radius 1, single bits with radius 0) serves as anchors of a piece:
-every value has its home anchor within the covering radius of each block, and is replicated to every anchor within
-covering radius plus excess, excesses summing to t at most. By the triangle inequality a value within t of another
-is replicated to that one's home, so comparing homes with replicas at each anchor finds every pair: the search is
-exact. Which blocks are used changes the cost alone: more blocks mean more anchors, smaller buckets and more replicas.
-A piece has 16 bits, which one Golay code covers. Anchors are hashed to buckets. Both fingerprints go along, once for all
-the replicas of a text in a bucket, so that only near duplicates leave the comparison. Where an anchor gets too many replicas, they are cut into
-slices and its homes go to each.
+Search. Masks cover all ways in which two 192-bit fingerprints can differ in `check_radius` bits (R. Pagh, "CoveringLSH"). Bits
+are cut into parts with a radius t each, t+1 summing to check_radius+1 over the parts, so that within check_radius one part
+agrees within its t. A part's bits get vectors of t+1 bits; each non-zero vector gives a mask, the bits whose vectors have an odd
+product with it. Any t bits leave a non-zero vector orthogonal to theirs, so texts within t agree on that vector's mask in
+full: sorting by each mask finds every pair, and the search is exact. The 64-bit fingerprints decide few unrelated texts (those
+of one language share most bits), so they check what the masks bring together. Texts are cut into groups by hash, a task takes
+two groups, or one with itself, and a share of the masks, and returns links enough for the same components; what is linked
+already is not compared again. Neither groups, shares nor the choice of vectors change what is found.
+
+The older search by anchor points stays for comparison: see near_pairs. Of two fingerprints within radius 4t+3, one of four
+pieces agrees within t. A product of perfect codes (Golay [23,12] with covering radius 3, Hamming [7,4] with radius 1, single
+bits with radius 0) serves as anchors of a piece: every value has its home anchor within the covering radius of each block, and
+is replicated to every anchor within covering radius plus excess, excesses summing to t at most. By the triangle inequality a
+value within t of another is replicated to that one's home, so comparing homes with replicas at each anchor finds every pair.
 """
 
 from __future__ import annotations
@@ -38,6 +43,9 @@ CODES = ((float("inf"), (GOLAY,)),)
 #: Homes and replicas of one Python call in the comparison, about, fingerprint pairs compared at once, and fingerprints spread at once.
 BUCKET_ROWS, BLOCK_PAIRS, BATCH = 2_000_000, 4_000_000, 5_000
 PRINTS = ("fp", "v1", "v2", "v3")
+#: Texts of a group, two of which a task compares; tasks that share the masks where groups are few, and texts for which one more is worth it; t+1 of a part, about.
+GROUP, TASKS, SHARE, UNITS = 500_000, 24, 10_000, 7
+_ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +146,10 @@ def _compare(ids: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int,
 
 
 def near_pairs(distinct: DataFrame, count: int, radius: int = RADIUS, check_radius: int = CHECK_RADIUS, codes: tuple = CODES) -> DataFrame:
-    """(a, b), a < b: rows of `distinct` (id, fp, v1, v2, v3; one row per fingerprint) within both radii; a pair can come twice."""
+    """(a, b), a < b: rows of `distinct` (id, fp, v1, v2, v3; one row per fingerprint) within both radii; a pair can come twice.
+
+    All pairs, by anchor points: 20 times the work of near_links and more where texts share much of the 64 bits.
+    """
     blocks = next(b for most, b in codes if count <= most)
     edges = [64 * k // PIECES for k in range(PIECES + 1)]
     excess = radius // PIECES
@@ -183,6 +194,139 @@ def near_pairs(distinct: DataFrame, count: int, radius: int = RADIUS, check_radi
     return distinct.select("id", *PRINTS).mapInPandas(spread, "bucket int, load binary").groupBy("bucket").applyInPandas(compare, "a long, b long")
 
 
+@functools.lru_cache(maxsize=8)
+def covering_masks(radius: int, bits: int = 192) -> np.ndarray:
+    """Rows of 64-bit words: of any two values that differ in at most `radius` of the bits, one row's bits are all alike."""
+    parts = max(1, (radius + 1) // UNITS)
+    least, more = divmod(radius + 1, parts)
+    units = [least] * (parts - more) + [least + 1] * more
+    edges = [bits * int(x) // (radius + 1) for x in np.cumsum([0, *units])]
+    out = []
+    for k, (start, end) in enumerate(itertools.pairwise(edges)):
+        # vectors with their lowest bit set, no two alike as far as they go; of some choices the one whose masks bring fewest texts together
+        best = np.inf
+        for seed in range(100):
+            vectors = np.resize(np.random.default_rng([k, seed]).permutation(1 << units[k] - 1), end - start) * 2 + 1
+            chosen = (np.bitwise_count(vectors[None, :] & np.arange(1, 1 << units[k])[:, None]) & 1).astype(np.uint8)
+            if (cost := (0.5 ** chosen.sum(1)).sum()) < best:
+                best, rows = cost, np.zeros((len(chosen), bits), np.uint8)
+                rows[:, start:end] = chosen
+        out.append(np.packbits(rows, axis=1, bitorder="little").view(np.uint64))
+    return np.concatenate(out)
+
+
+def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives all that the links (a, b) connect the smallest label among them, in place."""
+    while True:
+        a, b = label[a], label[b]
+        apart = a != b
+        if not apart.any():
+            return
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
+def _mixed(own: np.ndarray, same: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which runs have rows of several labels; `same` tells of each row whether the next is of its run."""
+    turns = same.copy()
+    turns[:-1] &= own[1:] != own[:-1]
+    return np.maximum.reduceat(turns.view(np.uint8), start) > 0 if len(start) else np.zeros(0, bool)
+
+
+def link(prints: np.ndarray, split: int, masks: np.ndarray, radius: int, check_radius: int) -> np.ndarray:
+    """For each row of prints the first row of its component over the pairs within both radii that agree on one of the masks.
+
+    With a `split` above 0 only pairs of a row before it and one from it on count.
+    """
+    n, label = len(prints), np.arange(len(prints))
+    words, first = [np.ascontiguousarray(prints[:, k]) for k in (1, 2, 3)], np.ascontiguousarray(prints[:, 0])
+    shift = np.uint64(max(1, n - 1).bit_length())
+    low, number = np.uint64((1 << int(shift)) - 1), np.arange(n, dtype=np.uint64)
+    left, right, held = [], [], 0
+    for mask in masks:
+        key = np.zeros(n, np.uint64)
+        for word, m, odd in zip(words, mask, _ODD, strict=True):
+            if m:
+                key ^= (word & m) * odd
+        key = (key ^ key >> np.uint64(32)) * _ODD[0] & ~low | number
+        key.sort()
+        order = (key & low).astype(np.int64)
+        key >>= shift
+        same = np.append(key[1:] == key[:-1], False)[:n]
+        ends = np.flatnonzero(np.diff(same, prepend=False, append=False))
+        start, size = ends[::2], ends[1::2] - ends[::2] + 1
+        kept = _mixed(label[order], same, start)
+        start, size = start[kept], size[kept]
+        # each row of a run is compared with those after it or, as rows before the split come first, each such row with those from the split on
+        early = np.diff(np.concatenate([[0], np.cumsum(order < split)])[np.stack([start, start + size])], axis=0)[0] if split else size - 1
+        run = np.repeat(np.arange(len(start)), early)
+        row = np.arange(len(run)) + np.repeat(start - np.cumsum(early) + early, early)
+        other = np.repeat(start + early, early) if split else row + 1
+        count = np.repeat(start + size, early) - other
+        longest = np.argsort((65_535 - count).astype(np.uint16) if len(count) and count.max() < 65_536 else -count, kind="stable")
+        run, row, other, count = run[longest], row[longest], other[longest], -count[longest]
+        fp, step = first[order], 0
+        mine = fp[row]
+        while active := int(np.searchsorted(count, -step)):
+            near = np.flatnonzero(np.bitwise_count(mine[:active] ^ fp[other[:active] + step]) <= radius)
+            a, b = order[row[near]], order[other[near] + step]
+            fresh = label[a] != label[b]
+            a, b = a[fresh], b[fresh]
+            close = np.bitwise_count(prints[a, 1:] ^ prints[b, 1:]).sum(1) <= check_radius
+            left.append(a[close])
+            right.append(b[close])
+            held += len(left[-1])
+            if held > n // 50:
+                _merge(label, np.concatenate(left), np.concatenate(right))
+                left, right, held = [], [], 0
+                kept = _mixed(label[order], same, start)[run]
+                run, row, other, count, mine = run[kept], row[kept], other[kept], count[kept], mine[kept]
+            step += 1
+    if held:
+        _merge(label, np.concatenate(left), np.concatenate(right))
+    return label
+
+
+def near_links(distinct: DataFrame, count: int, radius: int = RADIUS, check_radius: int = CHECK_RADIUS) -> DataFrame:
+    """(a, b), a <> b: links among rows of `distinct` whose components are those of all pairs within both radii; one can come twice.
+
+    `distinct` is (id, fp, v1, v2, v3), one row per fingerprint, and `count` its number of rows, which only decides how the work is cut.
+    """
+    groups = -(-count // GROUP) or 1
+    tiles = groups * (groups + 1) // 2
+    shares = max(1, min(-(-TASKS // tiles), count // SHARE))
+
+    def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            ids, four = frame["id"].to_numpy(), frame[list(PRINTS)].to_numpy()
+            group = (mix(ids, 5) % np.uint64(groups)).astype(np.int64)
+            for g in np.unique(group).tolist():
+                load = ids[group == g].astype("<i8").tobytes() + four[group == g].astype("<i8").tobytes()
+                pairs = [(min(g, other), max(g, other)) for other in range(groups)]
+                tasks = [((i * groups + j) * shares + share, g == i) for i, j in pairs for share in range(shares)]
+                yield pd.DataFrame({"task": [t for t, _ in tasks], "early": [e for _, e in tasks], "load": [load] * len(tasks)})
+
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        task, split, ids, prints = int(frame["task"].iloc[0]), 0, [], []
+        for early, load in sorted(zip(frame["early"], frame["load"], strict=True), key=lambda x: not x[0]):
+            n = len(load) // 40
+            ids.append(np.frombuffer(load, "<i8", n))
+            prints.append(np.frombuffer(load, "<u8", 4 * n, 8 * n).reshape(n, 4))
+            split += n * bool(early)
+        ids, prints = np.concatenate(ids), np.concatenate(prints)
+        i, j = divmod(task // shares, groups)
+        if i != j and split in (0, len(ids)):
+            return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
+        label = link(prints, split if i != j else 0, covering_masks(check_radius)[task % shares :: shares], radius, check_radius)
+        other = np.flatnonzero(label != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[label[other]], "b": ids[other]})
+
+    loads = distinct.select("id", *PRINTS).mapInPandas(spread, "task long, early boolean, load binary")
+    return loads.repartition(4 * tiles * shares, "task").groupBy("task").applyInPandas(compare, "a long, b long")
+
+
 def _load(ids: np.ndarray, four: np.ndarray, keys: np.ndarray, who: np.ndarray, home: np.ndarray) -> bytes:
     """What one batch sends to a bucket: each of its fingerprints once, then homes and replicas by their number in that list.
 
@@ -227,12 +371,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = seen
 
 
-def assign_groups(docs: DataFrame, radius: int = RADIUS, check_radius: int = CHECK_RADIUS, codes: tuple = CODES) -> DataFrame:
+def assign_groups(docs: DataFrame, radius: int = RADIUS, check_radius: int = CHECK_RADIUS, codes: tuple | None = None) -> DataFrame:
     """(doc_id, keep_id) for every distinct non-null doc_id: the smallest doc_id of its near-duplicate group.
 
     Texts that are null or have no words are never alike: such a document is its own group. Rows with a null doc_id
     are left out. Rows that share a doc_id, repeated or with other texts, count as one document, which is like
-    whatever any of its texts is like. Other columns are not read. An empty table gives an empty result.
+    whatever any of its texts is like. Other columns are not read. An empty table gives an empty result. With `codes`
+    the older search by anchors is used; groups are the same.
     """
 
     def sketch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,7 +392,8 @@ def assign_groups(docs: DataFrame, radius: int = RADIUS, check_radius: int = CHE
     full = rows.filter("full").drop("full")
     leaders = full.groupBy(*PRINTS).agg(F.min("id").alias("id"))
     leaders = written(leaders, "leaders")
-    pairs = near_pairs(leaders, leaders.count(), radius, check_radius, codes)
+    count = leaders.count()
+    pairs = near_pairs(leaders, count, radius, check_radius, codes) if codes else near_links(leaders, count, radius, check_radius)
     copies = full.join(leaders.withColumnRenamed("id", "a"), list(PRINTS)).select("a", F.col("id").alias("b")).filter("a <> b")
     roots = components(pairs.union(copies))
     return rows.select(F.col("id").alias("doc_id")).distinct().join(roots.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("keep_id"))

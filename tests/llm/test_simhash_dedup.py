@@ -76,6 +76,49 @@ def test_slices_of_full_anchors_find_the_same_groups(spark, monkeypatch):
     assert got == brute(op.fingerprints(texts)[0], list(range(160)), op.RADIUS, op.CHECK_RADIUS)
 
 
+@pytest.mark.parametrize("settings", [{"BUCKET_ROWS": 1}, {"GROUP": 50}, {"GROUP": 90, "SHARE": 20, "TASKS": 8}])
+def test_groups_shares_and_slices_change_no_group(spark, monkeypatch, settings):
+    texts = [near(k, 120, k % 9) for k in range(160)] + ["", "one", "one two", "x " * 300]
+    for name, value in settings.items():
+        monkeypatch.setattr(op, name, value)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.keep_id for r in op.assign_groups(docs, codes=op.CODES if "BUCKET_ROWS" in settings else None).collect()}
+    full = [k for k, text in enumerate(texts) if text]
+    assert got == brute(op.fingerprints([texts[k] for k in full])[0], full, op.RADIUS, op.CHECK_RADIUS) | {160: 160}
+
+
+@pytest.mark.parametrize("radius", [0, 3, 11, 36, 40])
+def test_masks_cover_all_within_the_radius(radius):
+    """Random sets of bits, and sets that spread evenly over the parts or fill one."""
+    rng, masks = np.random.default_rng(radius), op.covering_masks(radius)
+    for k in range(300):
+        flipped = [rng.choice(192, radius, False), np.arange(radius) * 192 // max(1, radius), (np.arange(radius) + k) % 192][k % 3]
+        bits = np.zeros(192, np.uint8)
+        bits[flipped] = 1
+        assert (np.packbits(bits, bitorder="little").view(np.uint64) & masks == 0).all(1).any()
+    assert (np.bitwise_count(masks).sum(1) > 0).all()
+
+
+@pytest.mark.parametrize("split", [0, 1500])
+def test_texts_alike_in_the_first_fingerprint_are_not_compared_one_by_one(monkeypatch, split):
+    """As texts of one language are. Links equal those of all pairs; those that agree on masks by chance are few."""
+    rng, n, count = np.random.default_rng(2), 4000, np.bitwise_count
+    prints = rng.integers(0, 1 << 63, (n, 4)).astype(np.uint64)
+    prints[:, 0] = 7
+    for k in range(3000, n):  # near copies, of which some are just within the radius and some just beyond
+        prints[k] = prints[k - 3000 if k < 3900 else k - 1]
+        for bit in rng.choice(192, rng.integers(30, 40), False):
+            prints[k, 1 + bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    a, b = np.nonzero(sum(count(prints[:, None, w] ^ prints[None, :, w]).astype(int) for w in (1, 2, 3)) <= op.CHECK_RADIUS)
+    wanted, apart = np.arange(n), (a < split) != (b < split) if split else a < b
+    op._merge(wanted, a[apart], b[apart])
+    compared = []
+    monkeypatch.setattr(np, "bitwise_count", lambda x: compared.append(len(x)) or count(x))
+    got = op.link(prints, split, op.covering_masks(op.CHECK_RADIUS), op.RADIUS, op.CHECK_RADIUS)
+    assert (got == wanted).all() and 200 < (got != np.arange(n)).sum()
+    assert sum(compared) < n * n / 20
+
+
 @pytest.mark.parametrize("blocks", [(op.GOLAY,), (op.HAMMING, op.BIT), (op.GOLAY, op.HAMMING)])
 def test_every_value_within_reach_is_replicated_home(blocks):
     rng, bits = np.random.default_rng(1), sum(b[0] for b in blocks)
