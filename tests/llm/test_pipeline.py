@@ -2,6 +2,7 @@ import pytest
 
 import corpus_pipeline
 from notegrove.llm import compression_rules, decontaminate, packing, quality_model, simhash_dedup
+from tests.llm.conftest import prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,6 +54,16 @@ def test_labelled_good_documents_stay(spark, stages):
     assert len(ids(stages[1]) & good) >= 0.97 * len(good)
 
 
+def test_near_dedup_links_a_large_cluster_without_all_its_pairs(spark, monkeypatch):
+    """250 versions of one text, no two the same: one stays, and fewer links than versions go into the components."""
+    words = prose(1, 400).split(" ")
+    rows = [(k, " ".join([*words[:k], f"edit{k}", *words[k + 1 :]])) for k in range(250)] + [(250 + k, prose(50 + k, 200)) for k in range(20)]
+    docs, edges, components = spark.createDataFrame(rows, "doc_id long, text string"), [], simhash_dedup.components
+    monkeypatch.setattr(simhash_dedup, "components", lambda found: edges.append(found.count()) or components(found))
+    assert ids(corpus_pipeline.near_dedup(spark, docs, SF)) == {0, *range(250, 270)}
+    assert 0 < edges[0] < 250
+
+
 def test_without_equals_an_anti_join(spark):
     from pyspark.sql import functions as F
 
