@@ -10,8 +10,8 @@ agrees within its t. A part's bits get vectors of t+1 bits; each non-zero vector
 product with it. Any t bits leave a non-zero vector orthogonal to theirs, so texts within t agree on that vector's mask in
 full: sorting by each mask finds every pair, and the search is exact. The 64-bit fingerprints decide few unrelated texts (those
 of one language share most bits), so they check what the masks bring together. Texts are cut into groups by hash, a task takes
-two groups, or one with itself, and a share of the masks, and returns links enough for the same components; what is linked
-already is not compared again. Neither groups, shares nor the choice of vectors change what is found.
+two groups, in a ring also the first with itself, and a share of the masks, and returns links enough for the same components;
+what is linked already is not compared again. Neither groups, shares nor the choice of vectors change what is found.
 
 The older search by anchor points stays for comparison: see near_pairs. Of two fingerprints within radius 4t+3, one of four
 pieces agrees within t. A product of perfect codes (Golay [23,12] with covering radius 3, Hamming [7,4] with radius 1, single
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from notegrove.llm._shared import bits_of, col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, without, written
+from notegrove.llm._shared import col, fresh_name, hash_texts, mix, pack_bits, shingle_hashes, without, written
 
 #: Bits of the 64 and of the 192 in which near duplicates may differ; pieces of the 64.
 RADIUS, CHECK_RADIUS, PIECES = 11, 36, 4
@@ -40,38 +40,79 @@ POWER = 0.65
 #: (distinct fingerprints up to which a set of blocks is used, the blocks); a block is (length, generator, covering radius).
 GOLAY, HAMMING, BIT = (23, 0b101011100011, 3), (7, 0b1011, 1), (1, 0b1, 0)
 CODES = ((float("inf"), (GOLAY,)),)
+#: Words that are fingerprinted at one go, about; a longer text goes by itself.
+WORDS = 100_000
 #: Homes and replicas of one Python call in the comparison, about, fingerprint pairs compared at once, and fingerprints spread at once.
-BUCKET_ROWS, BLOCK_PAIRS, BATCH = 2_000_000, 4_000_000, 5_000
+BUCKET_ROWS, HOME_PAIRS, BATCH = 2_000_000, 4_000_000, 5_000
+#: Keys of a mask handled at one go, and pairs of its runs compared at one go: arrays that stay in a core's cache.
+KEYS, BLOCK_PAIRS = 1 << 16, 1 << 16
 PRINTS = ("fp", "v1", "v2", "v3")
-#: Texts of a group, two of which a task compares; tasks that share the masks where groups are few, and texts for which one more is worth it; t+1 of a part, about.
-GROUP, TASKS, SHARE, UNITS = 500_000, 24, 10_000, 7
+#: Texts of a group, two of which a task compares or up to twice as many at once; tasks that share the masks where groups are few, and texts for which one more is worth it; t+1 of a part, about.
+GROUP, TASKS, SHARE, UNITS = 800_000, 24, 10_000, 7
+_LOW_BITS = np.uint64(0x0101010101010101)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
 
 
 def fingerprints(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of four signed 64-bit values, and which texts have words at all (the others' rows are zero)."""
     flat, offsets = hash_texts(texts)
-    out = np.zeros((len(texts), 4), np.int64)
-    for k in range(len(texts)):
-        words = flat[offsets[k] : offsets[k + 1]]
-        if len(words) == 0:
-            continue
-        distinct, counts = np.unique(words, return_counts=True)
-        out[k, 0] = pack_bits(_sums(mix(distinct, 9), counts.astype(np.float32) ** POWER) > 0)[0]
-        both, counts = np.unique(np.concatenate([words, shingle_hashes(words, 2)]), return_counts=True)
-        weights = np.sqrt(counts).astype(np.float32)
+    out, at = np.zeros((len(texts), 4), np.int64), 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + WORDS, "right")) - 1)
+        words, bounds = flat[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at]
+        # a text's last word begins no pair
+        pairs = np.delete(shingle_hashes(np.append(words, words[:1]), 2), bounds[1:][np.diff(bounds) > 0] - 1)
+        pair_bounds = np.concatenate([[0], np.cumsum(np.maximum(0, np.diff(bounds) - 1))])
+        words, counts, bounds = _distinct(words, bounds)
+        out[at:end, 0] = pack_bits(np.round(_votes([mix(words, 9)], counts.astype(np.float32) ** POWER, bounds)[0], 3) > 0)
+        total = _votes([mix(words, 100 + v) for v in range(3)], np.sqrt(counts).astype(np.float32), bounds)
+        pairs, counts, bounds = _distinct(pairs, pair_bounds)
+        total += _votes([mix(pairs, 100 + v) for v in range(3)], np.sqrt(counts).astype(np.float32), bounds)
         for v in range(3):
-            out[k, v + 1] = pack_bits(_sums(mix(both, 100 + v), weights) > 0)[0]
+            out[at:end, v + 1] = pack_bits(np.round(total[v], 3) > 0)
+        at = end
     return out, np.diff(offsets) > 0
 
 
-def _sums(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Weighted votes for each bit, +w where it is set and -w where not, as one row of 64."""
-    total = np.zeros(64, np.float64)
-    for at in range(0, len(hashes), 100_000):
-        w = weights[at : at + 100_000]
-        total += 2 * (w @ bits_of(hashes[at : at + 100_000]).astype(np.float32)) - w.sum(dtype=np.float64)
-    return np.round(total, 3)[None, :]
+def _distinct(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes of each text, how often it has them, and the texts' bounds among these."""
+    hashes = hashes.copy()
+    for start, end in itertools.pairwise(bounds.tolist()):
+        hashes[start:end].sort()
+    first = np.ones(len(hashes), bool)
+    np.not_equal(hashes[1:], hashes[:-1], out=first[1:])
+    first[bounds[:-1][np.diff(bounds) > 0]] = True
+    at = np.flatnonzero(first)
+    return hashes[at], np.diff(at, append=len(hashes)), np.searchsorted(at, bounds)
+
+
+def _votes(kinds: list[np.ndarray], weights: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """For each kind of hash and text, its rows' votes for each bit: +w where it is set and -w where not.
+
+    Rows of weight 1, which most are, are counted in the bytes of 64-bit sums, 255 rows at most in each.
+    """
+    total = np.zeros((len(kinds), len(bounds) - 1, 64))
+    alone = weights == 1
+    once, more = np.flatnonzero(alone), np.flatnonzero(~alone)
+    ends, rest = np.searchsorted(once, bounds), np.searchsorted(more, bounds)
+    sums = -(-np.diff(ends) // 255)
+    text = np.repeat(np.arange(len(sums)), sums)
+    starts = ends[text] + 255 * (np.arange(len(text)) - np.repeat(np.cumsum(sums) - sums, sums))
+    begin = np.flatnonzero(np.diff(text, prepend=-1))
+    weights = weights[more].astype(np.float64)
+    for k, hashes in enumerate(kinds if len(text) else []):
+        rows, set_bits = hashes[once], np.zeros((len(text), 8, 8), np.int64)
+        for bit in range(8):
+            set_bits[:, :, bit] = np.add.reduceat(rows >> np.uint64(bit) & _LOW_BITS, starts).astype("<u8").view(np.uint8).reshape(-1, 8)
+        total[k, text[begin]] = 2 * np.add.reduceat(set_bits.reshape(-1, 64), begin)
+    total -= np.diff(ends)[:, None]
+    others = np.stack([hashes[more] for hashes in kinds], 1).view(np.uint8)
+    for t in np.flatnonzero(np.diff(rest)).tolist():
+        for at in range(rest[t], rest[t + 1], 100_000):
+            w = weights[at : min(at + 100_000, rest[t + 1])]
+            bits = np.unpackbits(others[at : at + len(w)], axis=1, bitorder="little").astype(np.float64)
+            total[:, t] += 2 * (w @ bits).reshape(-1, 64) - w.sum()
+    return total
 
 
 @functools.lru_cache(maxsize=8)
@@ -134,7 +175,7 @@ def _compare(ids: np.ndarray, prints: np.ndarray, home: np.ndarray, radius: int,
     left, right = [], []
     h, hp = ids[home], prints[home]
     r, rp = ids[~home], prints[~home]
-    step = max(1, BLOCK_PAIRS // max(1, len(r)))
+    step = max(1, HOME_PAIRS // max(1, len(r)))
     for at in range(0, len(h), step):
         a, b = np.nonzero(np.bitwise_count(hp[at : at + step, :1] ^ rp[None, :, 0]) <= radius)
         a += at
@@ -235,55 +276,64 @@ def _mixed(own: np.ndarray, same: np.ndarray, start: np.ndarray) -> np.ndarray:
     return np.maximum.reduceat(turns.view(np.uint8), start) > 0 if len(start) else np.zeros(0, bool)
 
 
-def link(prints: np.ndarray, split: int, masks: np.ndarray, radius: int, check_radius: int) -> np.ndarray:
+def link(prints: np.ndarray, split: int, masks: np.ndarray, radius: int, check_radius: int, own: bool = False) -> np.ndarray:
     """For each row of prints the first row of its component over the pairs within both radii that agree on one of the masks.
 
-    With a `split` above 0 only pairs of a row before it and one from it on count.
+    With a `split` above 0 only pairs of a row before it and one from it on count, with `own` those of two before it too.
     """
-    n, label = len(prints), np.arange(len(prints))
-    words, first = [np.ascontiguousarray(prints[:, k]) for k in (1, 2, 3)], np.ascontiguousarray(prints[:, 0])
+    n, label = len(prints), np.arange(len(prints), dtype=np.int32)
+    first, *words = np.ascontiguousarray(prints.T)
+    del prints
     shift = np.uint64(max(1, n - 1).bit_length())
-    low, number = np.uint64((1 << int(shift)) - 1), np.arange(n, dtype=np.uint64)
+    low, number, key = np.uint64((1 << int(shift)) - 1), np.arange(KEYS, dtype=np.uint64), np.empty(n, np.uint64)
     left, right, held = [], [], 0
     for mask in masks:
-        key = np.zeros(n, np.uint64)
-        for word, m, odd in zip(words, mask, _ODD, strict=True):
-            if m:
-                key ^= (word & m) * odd
-        key = (key ^ key >> np.uint64(32)) * _ODD[0] & ~low | number
+        for at in range(0, n, KEYS):
+            part = key[at : at + KEYS]
+            part[:] = 0
+            for word, m, odd in zip(words, mask, _ODD, strict=True):
+                if m:
+                    part ^= (word[at : at + KEYS] & m) * odd
+            part ^= part >> np.uint64(32)
+            part *= _ODD[0]
+            part &= ~low
+            part |= number[: len(part)] + np.uint64(at)
         key.sort()
-        order = (key & low).astype(np.int64)
-        key >>= shift
-        same = np.append(key[1:] == key[:-1], False)[:n]
-        ends = np.flatnonzero(np.diff(same, prepend=False, append=False))
-        start, size = ends[::2], ends[1::2] - ends[::2] + 1
-        kept = _mixed(label[order], same, start)
-        start, size = start[kept], size[kept]
-        # each row of a run is compared with those after it or, as rows before the split come first, each such row with those from the split on
-        early = np.diff(np.concatenate([[0], np.cumsum(order < split)])[np.stack([start, start + size])], axis=0)[0] if split else size - 1
-        run = np.repeat(np.arange(len(start)), early)
-        row = np.arange(len(run)) + np.repeat(start - np.cumsum(early) + early, early)
-        other = np.repeat(start + early, early) if split else row + 1
-        count = np.repeat(start + size, early) - other
-        longest = np.argsort((65_535 - count).astype(np.uint16) if len(count) and count.max() < 65_536 else -count, kind="stable")
-        run, row, other, count = run[longest], row[longest], other[longest], -count[longest]
-        fp, step = first[order], 0
-        mine = fp[row]
-        while active := int(np.searchsorted(count, -step)):
-            near = np.flatnonzero(np.bitwise_count(mine[:active] ^ fp[other[:active] + step]) <= radius)
-            a, b = order[row[near]], order[other[near] + step]
-            fresh = label[a] != label[b]
-            a, b = a[fresh], b[fresh]
-            close = np.bitwise_count(prints[a, 1:] ^ prints[b, 1:]).sum(1) <= check_radius
-            left.append(a[close])
-            right.append(b[close])
-            held += len(left[-1])
-            if held > n // 50:
-                _merge(label, np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
-                kept = _mixed(label[order], same, start)[run]
-                run, row, other, count, mine = run[kept], row[kept], other[kept], count[kept], mine[kept]
-            step += 1
+        end = 0
+        while end < n:  # some keys at a time, the last run of them in full
+            at, end = end, int(np.searchsorted(key, key[min(n, end + KEYS) - 1] | low, "right"))
+            same = np.append(np.diff(key[at:end] >> shift) == 0, False)
+            ends = np.flatnonzero(np.diff(same, prepend=False, append=False))
+            start, size = ends[::2], ends[1::2] - ends[::2] + 1
+            order = (key[at:end] & low).astype(np.intp)
+            kept = _mixed(label[order], same, start)
+            start, size = start[kept], size[kept]
+            # each row of a run is compared with those after it or, as rows before the split come first, each such row with those from the split on
+            early = np.diff(np.concatenate([[0], np.cumsum(order < split)])[np.stack([start, start + size])], axis=0)[0] if split else size - 1
+            row = np.arange(early.sum()) + np.repeat(start - np.cumsum(early) + early, early)
+            other = np.repeat(start + early, early) if split and not own else row + 1
+            count, fp, k = np.repeat(start + size, early) - other, first[order], 0
+            done = np.cumsum(count)
+            while k < len(row):
+                base = int(done[k - 1]) if k else 0
+                to = max(k + 1, int(np.searchsorted(done, base + BLOCK_PAIRS, "right")))
+                each, upto = count[k:to], done[k:to] - base
+                place = np.arange(upto[-1]) + np.repeat(other[k:to] - upto + each, each)
+                near = np.flatnonzero(np.bitwise_count(np.repeat(fp[row[k:to]], each) ^ fp[place]) <= radius)
+                a, b = order[row[k + np.searchsorted(upto, near, "right")]], order[place[near]]
+                fresh = label[a] != label[b]
+                a, b, k = a[fresh], b[fresh], to
+                close = sum(np.bitwise_count(word[a] ^ word[b]).astype(np.int64) for word in words) <= check_radius
+                left.append(a[close])
+                right.append(b[close])
+                held += len(left[-1])
+                if held > n // 50:
+                    _merge(label, np.concatenate(left), np.concatenate(right))
+                    left, right, held = [], [], 0
+                    turns = _mixed(label[order], same, ends[::2])
+                    kept = k + np.flatnonzero(turns[np.searchsorted(ends[::2], row[k:], "right") - 1])
+                    row, other, count, k = row[kept], other[kept], count[kept], 0
+                    done = np.cumsum(count)
     if held:
         _merge(label, np.concatenate(left), np.concatenate(right))
     return label
@@ -294,9 +344,10 @@ def near_links(distinct: DataFrame, count: int, radius: int = RADIUS, check_radi
 
     `distinct` is (id, fp, v1, v2, v3), one row per fingerprint, and `count` its number of rows, which only decides how the work is cut.
     """
-    groups = -(-count // GROUP) or 1
-    tiles = groups * (groups + 1) // 2
-    shares = max(1, min(-(-TASKS // tiles), count // SHARE))
+    groups = -(-count // GROUP) if count > 2 * GROUP else 1
+    # by task: its groups, the early one first; in a ring each group meets itself where it meets the next one
+    tiles = [(i, j) if j - i < groups - 1 else (j, i) for i, j in itertools.combinations(range(groups), 2)] or [(0, 0)]
+    shares = max(1, min(-(-TASKS // len(tiles)), count // SHARE))
 
     def spread(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -304,27 +355,27 @@ def near_links(distinct: DataFrame, count: int, radius: int = RADIUS, check_radi
             group = (mix(ids, 5) % np.uint64(groups)).astype(np.int64)
             for g in np.unique(group).tolist():
                 load = ids[group == g].astype("<i8").tobytes() + four[group == g].astype("<i8").tobytes()
-                pairs = [(min(g, other), max(g, other)) for other in range(groups)]
-                tasks = [((i * groups + j) * shares + share, g == i) for i, j in pairs for share in range(shares)]
+                tasks = [(t * shares + share, g == tile[0]) for t, tile in enumerate(tiles) if g in tile for share in range(shares)]
                 yield pd.DataFrame({"task": [t for t, _ in tasks], "early": [e for _, e in tasks], "load": [load] * len(tasks)})
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        task, split, ids, prints = int(frame["task"].iloc[0]), 0, [], []
-        for early, load in sorted(zip(frame["early"], frame["load"], strict=True), key=lambda x: not x[0]):
-            n = len(load) // 40
-            ids.append(np.frombuffer(load, "<i8", n))
-            prints.append(np.frombuffer(load, "<u8", 4 * n, 8 * n).reshape(n, 4))
-            split += n * bool(early)
-        ids, prints = np.concatenate(ids), np.concatenate(prints)
-        i, j = divmod(task // shares, groups)
-        if i != j and split in (0, len(ids)):
+        task, early = int(frame["task"].iloc[0]), frame["early"].to_numpy(bool)
+        loads = [frame["load"].iloc[k] for k in np.argsort(~early, kind="stable")]
+        ends = np.cumsum([0, *(len(load) // 40 for load in loads)])
+        ids, prints, split = np.empty(ends[-1], np.int64), np.empty((4, ends[-1]), np.uint64), int(ends[early.sum()])
+        for load, (start, end) in zip(loads, itertools.pairwise(ends), strict=True):
+            ids[start:end] = np.frombuffer(load, "<i8", end - start)
+            prints[:, start:end] = np.frombuffer(load, "<u8", 4 * (end - start), 8 * (end - start)).reshape(-1, 4).T
+        i, j = tiles[task // shares]
+        own = groups == 1 or (i + 1) % groups == j
+        if split == 0 or split == len(ids) and not own:
             return pd.DataFrame({"a": ids[:0], "b": ids[:0]})
-        label = link(prints, split if i != j else 0, covering_masks(check_radius)[task % shares :: shares], radius, check_radius)
+        label = link(prints.T, 0 if i == j else split, covering_masks(check_radius)[task % shares :: shares], radius, check_radius, own)
         other = np.flatnonzero(label != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[label[other]], "b": ids[other]})
 
     loads = distinct.select("id", *PRINTS).mapInPandas(spread, "task long, early boolean, load binary")
-    return loads.repartition(4 * tiles * shares, "task").groupBy("task").applyInPandas(compare, "a long, b long")
+    return loads.repartition(4 * len(tiles) * shares, "task").groupBy("task").applyInPandas(compare, "a long, b long")
 
 
 def _load(ids: np.ndarray, four: np.ndarray, keys: np.ndarray, who: np.ndarray, home: np.ndarray) -> bytes:

@@ -1,9 +1,12 @@
 import random
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
 
 from notegrove.llm import simhash_dedup as op
+from notegrove.llm._shared import hash_texts, mix, shingle_hashes
 from tests.llm.conftest import prose
 
 
@@ -87,6 +90,55 @@ def test_groups_shares_and_slices_change_no_group(spark, monkeypatch, settings):
     assert got == brute(op.fingerprints([texts[k] for k in full])[0], full, op.RADIUS, op.CHECK_RADIUS) | {160: 160}
 
 
+@pytest.mark.parametrize("size", [1, 40, 60])
+def test_groups_in_a_ring_miss_no_link(spark, monkeypatch, size):
+    """Of one text each, 5 or 3 groups; no task compares a group with itself alone."""
+    prints = np.unique(op.fingerprints([near(k, 120, k % 9) for k in range(160 if size > 1 else 5)])[0], axis=0)
+    monkeypatch.setattr(op, "GROUP", size)
+    splits, link = [], op.link
+    monkeypatch.setattr(op, "link", lambda prints, split, *rest: splits.append(split) or link(prints, split, *rest))
+    distinct = spark.createDataFrame([(k, *map(int, row)) for k, row in enumerate(prints)], "id long, fp long, v1 long, v2 long, v3 long")
+    links = np.array([(r.a, r.b) for r in op.near_links(distinct, len(prints)).collect()], int).reshape(-1, 2)
+    label = np.arange(len(prints))
+    op._merge(label, links[:, 0], links[:, 1])
+    assert dict(enumerate(label.tolist())) == brute(prints, list(range(len(prints))), op.RADIUS, op.CHECK_RADIUS)
+    assert 0 not in splits
+
+
+def test_fingerprints_are_signs_of_all_votes(monkeypatch):
+    """One by one, in batches and alone; words that a text has once are not spread into a number for each bit."""
+    texts = [None, "", "one", "one two", "one one", "x " * 300, "a b c " * 200, *(prose(k, 30 * k) for k in range(1, 20)), " ".join(f"w{k}" for k in range(3000)), "", None]
+    spread, unpack = [], np.unpackbits
+
+    def expected(text):
+        words = hash_texts([text])[0]
+        one, both = Counter(words.tolist()), Counter(np.concatenate([words, shingle_hashes(words, 2)]).tolist())
+        values = []
+        for counts, power, seed in ((one, op.POWER, 9), *((both, 0.5, 100 + v) for v in range(3))):
+            votes = [(h, float(np.float32(n) ** power)) for h, n in zip(mix(np.array(list(counts), np.uint64), seed).tolist(), counts.values(), strict=True)]
+            values.append(sum(1 << bit for bit in range(64) if round(sum(w if h >> bit & 1 else -w for h, w in votes), 3) > 0))
+        return np.array(values, np.uint64).view(np.int64).tolist()
+
+    wanted = [expected(t) for t in texts]
+    monkeypatch.setattr(np, "unpackbits", lambda x, **how: spread.append(len(x)) or unpack(x, **how))
+    prints, full = op.fingerprints(texts)
+    assert prints.tolist() == wanted and full.tolist() == [bool(t) for t in texts]
+    assert sum(spread) < 2000 < len(texts[-3].split())
+    monkeypatch.setattr(op, "WORDS", 100)
+    assert op.fingerprints(texts)[0].tolist() == wanted
+
+
+def test_a_search_task_keeps_few_bytes_a_text():
+    """So that larger groups fit, each of which meets fewer others."""
+    prints = np.random.default_rng(4).integers(0, 1 << 63, (400_000, 4)).astype(np.uint64)
+    masks = op.covering_masks(op.CHECK_RADIUS)[:2]
+    tracemalloc.start()
+    op.link(prints, 0, masks, op.RADIUS, op.CHECK_RADIUS)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * len(prints)
+
+
 @pytest.mark.parametrize("radius", [0, 3, 11, 36, 40])
 def test_masks_cover_all_within_the_radius(radius):
     """Random sets of bits, and sets that spread evenly over the parts or fill one."""
