@@ -224,6 +224,27 @@ def test_ranks_do_not_depend_on_row_order(spark):
     assert told[0] == told[1] == told[2] and len(told[0]) == 105
 
 
+def test_chunks_travel_in_small_batches(spark, monkeypatch):
+    """No array of all of a batch's chunks: they leave the task as they fill BATCH_CHARS, with their own row's columns."""
+    from notegrove.operators import chunking
+
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 50)
+    texts = [(k, f"p{k}", None if k == 3 else "\n".join("line %d" % (k * 7 + j) for j in range(k * 9))) for k in range(12)]
+    made = chunk_texts(spark.createDataFrame(texts, "id int, path string, text string").coalesce(1), ChunkingConfig(8, 2))
+    assert "MapInArrow" in made._jdf.queryExecution().toString()
+    want = [(i, p, n, *c) for i, p, t in texts if t is not None for n, c in enumerate(split_text(t, ChunkingConfig(8, 2)))]
+    assert sorted(map(tuple, made.collect())) == sorted(want) and made.columns == ["id", "path", "chunk_no", "start_line", "end_line", "text"]
+
+
+def test_documents_are_spread_by_size(spark, monkeypatch):
+    """A table in one row group is as many tasks as its bytes ask for."""
+    from notegrove.sources import adapters
+
+    monkeypatch.setattr(adapters, "SPLIT_BYTES", 10_000)
+    made = adapters.chunks(spark, "/root/testdata/sf0.001")
+    assert made.rdd.getNumPartitions() > 20 and made.count() > 200
+
+
 @pytest.mark.parametrize("sent", [500_000, 4])
 def test_bm25_of_blocks_and_stored_postings(spark, chunks, monkeypatch, sent):
     """Ranks are the same from texts and postings, in any blocks, and the best of each query are those of the whole list."""
