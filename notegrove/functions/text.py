@@ -92,25 +92,26 @@ def is_stop_word(token: Column) -> Column:
     return token.isin(*STOP_WORDS)
 
 
-def is_keyword(token: Column) -> Column:
-    """Not empty, not one or two ASCII letters, not digits only, not symbols only."""
-    return ~((token == "") | token.rlike(r"^[a-zA-Z]{1,2}$") | token.rlike(r"^\p{Nd}+$") | token.rlike(r"^[^\p{L}\p{N}_]+$"))
+#: A word that is not one or two ASCII letters and not digits only. Words start where no word goes on.
+KEYWORD = r"(?<![\p{L}\p{N}_])(?!(?:[a-zA-Z]{1,2}|\p{Nd}++)(?![\p{L}\p{N}_]))[\p{L}\p{N}_]++"
 
 
-def first_spellings(tokens: Column) -> Column:
-    """Tokens without repeats in another case, first spellings in order.
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once a row however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
-    Tokens are sorted by their lower case and place, so that each is compared with its neighbour alone.
-    """
-    order = F.array_sort(F.transform(tokens, lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("own"))))
+
+def _first_spellings(order: Column) -> Column:
+    """Of words (low, at, own), sorted, the first of each lower case, in order of place: each is compared with its neighbour alone."""
     before = F.concat(F.array(F.lit(None).cast("string")), F.transform(order, lambda x: x["low"]))
-    pairs = F.filter(F.zip_with(order, F.slice(before, F.lit(1), F.size(tokens)), lambda x, y: F.struct(x["at"].alias("at"), x["own"].alias("own"), (y.isNull() | (x["low"] != y)).alias("first"))), lambda x: x["first"])
-    return F.transform(F.array_sort(pairs), lambda x: x["own"])
+    pairs = F.filter(F.zip_with(order, F.slice(before, F.lit(1), F.size(order)), lambda x, y: F.struct(x["at"].alias("at"), x["own"].alias("own"), (y.isNull() | (x["low"] != y)).alias("first"))), lambda x: x["first"])
+    return F.transform(F.sort_array(pairs), lambda x: x["own"])
 
 
 def keywords(query: Column) -> Column:
-    """Words that say what a query is about."""
-    return first_spellings(F.filter(query_words(query), lambda t: ~is_stop_word(F.lower(t)) & ~is_stop_word(t) & is_keyword(t)))
+    """Words that say what a query is about, without repeats in another case."""
+    words = F.transform(F.array_distinct(every_match(query, KEYWORD)), lambda t, i: F.struct(F.lower(t).alias("low"), i.alias("at"), t.alias("own")))
+    return _bound(F.sort_array(F.filter(words, lambda t: ~is_stop_word(t["low"]) & ~is_stop_word(t["own"]))), _first_spellings)
 
 
 def expanded_query(query: Column) -> Column:

@@ -120,3 +120,18 @@ def test_keywords_of_documents_equal_brute_force(spark, tmp_path):
         return " ".join(first.values())
 
     assert {r.doc_id: r.keywords for r in QUERIES["keyword_extract"](spark, str(tmp_path)).collect()} == {k: brute(t) for k, t in texts.items()}
+
+
+def test_keywords_are_found_in_one_pass(spark):
+    """As by loops over all words; the words of a text are taken out and sorted once, not once for each use of theirs."""
+    texts = ["Aa1 aA1 AA1 x xy XYZ 12 1234 १२ _ __ a_b ab_ ñ ñá Été été ÉTÉ 数据 the The", None, " ".join(f"W{k % 90} w{k % 70} {k} the" for k in range(900))]
+    found = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, v string").select("k", text.keywords(F.col("v")).alias("x"))
+    for t, got in zip(texts, (r.x for r in found.orderBy("k").collect()), strict=True):
+        seen, want = set(), []
+        for w in re.findall(r"\w+", t or ""):
+            if not (re.fullmatch("[a-zA-Z]{1,2}", w) or w.isdecimal() or {w, w.lower()} & set(STOP_WORDS) or w.lower() in seen):
+                seen.add(w.lower())
+                want.append(w)
+        assert got == (want if t is not None else None)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
